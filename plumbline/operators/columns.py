@@ -189,3 +189,12 @@ def local_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> D
         f"cast(col{i + 1} as {f.dataType.simpleString()}) as `{f.name}`" for i, f in enumerate(fields)
     )
     return spark.sql(f"select {casts} from values {values}")
+
+
+def settle(small: DataFrame) -> DataFrame:
+    """A result with a row or two per column, computed once and kept as literals.
+
+    For profiles and findings that many rules read: their size follows the schema, not the data.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in small.schema.fields)
+    return local_table(small.sparkSession, [tuple(r) for r in small.collect()], schema)
