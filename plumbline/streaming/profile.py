@@ -21,7 +21,7 @@ from plumbline.operators.summary import finish_summary
 def _facts(c: Cell):
     num = c.number("strict")
     return F.struct(
-        F.lit(c.ordinal).alias("ordinal"), num.alias("num"), (~c.missing).alias("present")
+        F.lit(c.ordinal).alias("ordinal"), num.alias("num"), F.coalesce(~c.missing, F.lit(False)).alias("present")
     )
 
 
