@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import Cell, local_table, number_cells
-from plumbline.operators.ordering import BUCKET_BITS, average_ranks, bucket_edges
+from plumbline.operators.ordering import average_ranks, bucket_edges
 
 MIN_PAIRS = 3
-PAIRS_PER_SCAN = 10
+PAIRS_PER_SCAN = 4
+PRODUCTS_PER_SCAN = 36
 
 
 def column_pairs(profile: DataFrame) -> DataFrame:
@@ -60,29 +62,89 @@ def _pairs_wide(
             )
         source = df.select(*[values[n].alias(at[n]) for n in names])
         parts.append(source.agg(*aggs).select(F.inline(F.array(*rows))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return reduce(DataFrame.unionAll, parts)
+
+
+PAIR_SCHEMA = "column_x string, column_y string, pairs bigint, correlation double"
+
+
+def _all_pairs(df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]], zero_variance: str) -> DataFrame:
+    """Coefficients of the given pairs.
+
+    Columns without missing cells share their means and variances over all pairs, which
+    leaves one sum of products per pair; the others see their complete pairs only.
+    """
+    if not pairs:
+        return local_table(df.sparkSession, [], PAIR_SCHEMA)
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    facts = _column_facts(df, values, names)
+    rows = facts[names[0]]["rows"]
+    complete = {n for n in names if facts[n]["n"] == rows and rows >= MIN_PAIRS}
+    shared = [p for p in pairs if p[0] in complete and p[1] in complete]
+    gappy = [p for p in pairs if p not in set(shared)]
+    parts = []
+    if shared:
+        parts.append(_pairs_complete(df, values, shared, facts, zero_variance))
+    if gappy:
+        parts.append(_pairs_wide(df, values, gappy, zero_variance))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _column_facts(df: DataFrame, values: dict[str, Column], names: Sequence[str]) -> dict[str, dict]:
+    """Rows, values, mean, and whether it is constant, of each column."""
+    at = {n: f"x{i}" for i, n in enumerate(names)}
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for x in at.values():
+        aggs += [F.count(x).alias(f"n_{x}"), F.avg(x).alias(f"m_{x}"), (F.min(x) == F.max(x)).alias(f"c_{x}")]
+    row = df.select(*[values[n].alias(x) for n, x in at.items()]).agg(*aggs).first()
+    return {
+        n: {"rows": row["rows"], "n": row[f"n_{x}"], "mean": row[f"m_{x}"], "constant": bool(row[f"c_{x}"])}
+        for n, x in at.items()
+    }
+
+
+def _pairs_complete(df, values, pairs, facts, zero_variance) -> DataFrame:
+    """Sums of products around the known means, a few dozen per scan."""
+    rows = next(iter(facts.values()))["rows"]
+    parts = []
+    for i in range(0, len(pairs), PRODUCTS_PER_SCAN):
+        chunk = pairs[i : i + PRODUCTS_PER_SCAN]
+        at = {n: f"d{j}" for j, n in enumerate(dict.fromkeys(n for p in chunk for n in p))}
+        source = df.select(*[(values[n] - F.lit(facts[n]["mean"])).alias(d) for n, d in at.items()])
+        aggs = [F.sum(F.col(d) * F.col(d)).alias(f"s_{d}") for d in at.values()]
+        aggs += [F.sum(F.col(at[a]) * F.col(at[b])).alias(f"p{j}") for j, (a, b) in enumerate(chunk)]
+        structs = []
+        for j, (a, b) in enumerate(chunk):
+            flat = facts[a]["constant"] or facts[b]["constant"]
+            spread = F.sqrt(F.col(f"s_{at[a]}")) * F.sqrt(F.col(f"s_{at[b]}"))
+            constant = F.lit(0.0 if zero_variance == "zero" else None).cast("double")
+            structs.append(
+                F.struct(
+                    F.lit(a).alias("column_x"),
+                    F.lit(b).alias("column_y"),
+                    F.lit(rows).cast("bigint").alias("pairs"),
+                    (constant if flat else F.try_divide(F.col(f"p{j}"), spread)).alias("correlation"),
+                )
+            )
+        parts.append(source.agg(*aggs).select(F.inline(F.array(*structs))))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def pearson(df: DataFrame, x: str, y: str, zero_variance: str = "null") -> DataFrame:
     """One row ``(column_x, column_y, pairs, correlation)``; NULL under three complete pairs."""
     picked = number_cells(df, [x, y])
-    return _pairs_wide(df, {c.name: c.number() for c in picked}, [(x, y)], zero_variance)
+    return _all_pairs(df, {c.name: c.number() for c in picked}, [(x, y)], zero_variance)
 
 
 def pearson_pairs(df: DataFrame, columns: Iterable[str] | None = None, zero_variance: str = "null") -> DataFrame:
     """Correlation of every unordered pair of numeric columns, in column order."""
     picked = number_cells(df, columns)
     pairs = list(combinations([c.name for c in picked], 2))
-    if not pairs:
-        return local_table(df.sparkSession, [], "column_x string, column_y string, pairs bigint, correlation double")
-    return _pairs_wide(df, {c.name: c.number() for c in picked}, pairs, zero_variance)
+    return _all_pairs(df, {c.name: c.number() for c in picked}, pairs, zero_variance)
 
 
 def spearman_pairs(
-    df: DataFrame, columns: Iterable[str] | None = None, zero_variance: str = "null", bits: int = BUCKET_BITS
+    df: DataFrame, columns: Iterable[str] | None = None, zero_variance: str = "null"
 ) -> DataFrame:
     """Rank correlation of every unordered pair, ranks taken over the complete pairs."""
     picked = number_cells(df, columns)
@@ -92,40 +154,36 @@ def spearman_pairs(
     parts = []
     if len(complete) > 1:
         # no missing cells: a column has the same ranks in all its pairs
-        ranked = _ranked(df.select(*[c.number().alias(f"x{c.ordinal}") for c in complete]), complete, bits)
+        ranked = _ranked(df.select(*[c.number().alias(f"x{c.ordinal}") for c in complete]), complete)
         values = {c.name: F.col(f"r{c.ordinal}") for c in complete}
         pairs = list(combinations([c.name for c in complete], 2))
         parts.append(_pairs_wide(ranked, values, pairs, zero_variance))
     for a, b in gappy_pairs:
         both = df.select(a.number().alias(f"x{a.ordinal}"), b.number().alias(f"x{b.ordinal}")).dropna()
-        ranked = _ranked(both, [a, b], bits)
+        ranked = _ranked(both, [a, b])
         values = {c.name: F.col(f"r{c.ordinal}") for c in (a, b)}
         parts.append(_pairs_wide(ranked, values, [(a.name, b.name)], zero_variance))
     if not parts:
-        return local_table(df.sparkSession, [], "column_x string, column_y string, pairs bigint, correlation double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+        return local_table(df.sparkSession, [], PAIR_SCHEMA)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def spearman(df: DataFrame, x: str, y: str, zero_variance: str = "null") -> DataFrame:
     return spearman_pairs(df, [x, y], zero_variance)
 
 
-def _ranked(rows: DataFrame, picked: Sequence[Cell], bits: int) -> DataFrame:
+def _ranked(rows: DataFrame, picked: Sequence[Cell]) -> DataFrame:
     """``rows`` with the average rank of each column as ``r<i>``.
 
     Equal rows are counted together first.  The rank table has one row per distinct value:
     a hot value meets one build row, and the adaptive skew join splits its probe side.
     """
     names = [f"x{c.ordinal}" for c in picked]
-    edges = bucket_edges(rows, {n: F.col(n) for n in names}, bits)
+    edges = bucket_edges(rows, {n: F.col(n) for n in names})
     out = rows
     for c, n in zip(picked, names):
-        one = rows.select(F.lit(n).alias("column"), F.col(n).alias("value"))
-        ranks = average_ranks(one, "column", "value", {n: edges[n]}, bits)
-        out = out.join(ranks.select(F.col("value").alias(n), F.col("rank").alias(f"r{c.ordinal}")), n)
+        ranks = average_ranks(rows.select(n), n, edges[n])
+        out = out.join(ranks.select(n, F.col("rank").alias(f"r{c.ordinal}")), n)
     return out
 
 

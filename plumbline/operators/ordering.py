@@ -19,14 +19,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.columns import local_table
+from plumbline.operators.columns import local_table, sql_literal
 
 SKETCH_K = 4096
 SKETCH_MARGIN = 0.002
 # A bracket with more rows than this is sketched again before its values are ordered.
 FINISH_ROWS = 5_000_000
-BUCKET_BITS = 10
+# Buckets hold about this many rows, up to 2 ** BUCKET_BITS buckets.
+BUCKET_ROWS = 200_000
+BUCKET_BITS = 12
+BUCKET_SKETCH_K = 16_384
 VALUES_PER_SCAN = 24
+# Up to this many cut points a value finds its bucket by compiled comparisons.
+TREE_EDGES = 64
 
 
 @dataclass(frozen=True)
@@ -74,6 +79,11 @@ class _Open:
         return cond
 
 
+def doubles_sql(values: Sequence[float]) -> str:
+    """A constant array of doubles as one string literal, which parses fast however long it is."""
+    return f"cast(split('{','.join(repr(float(v)) for v in values)}', ',') as array<double>)"
+
+
 def sketched_quantiles(
     df: DataFrame, values: Mapping[str, Column], probes: Mapping[str, Sequence[float]], k: int = SKETCH_K
 ) -> dict[str, tuple[int, float | None, float | None, list[float]]]:
@@ -82,14 +92,14 @@ def sketched_quantiles(
     for part in _chunks(list(values), VALUES_PER_SCAN):
         aggs = []
         for i, name in enumerate(part):
-            shares = ", ".join(f"{p!r}D" for p in probes[name])
+            shares = doubles_sql(probes[name])
             aggs += [
                 F.count(f"v{i}").alias(f"n{i}"),
                 F.min(f"v{i}").alias(f"lo{i}"),
                 F.max(f"v{i}").alias(f"hi{i}"),
                 F.expr(
                     f"case when count(v{i}) > 0 then kll_sketch_get_quantile_double("
-                    f"kll_sketch_agg_double(v{i}, {k}), array({shares})) end"
+                    f"kll_sketch_agg_double(v{i}, {k}), {shares}) end"
                 ).alias(f"q{i}"),
             ]
         row = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(part)]).agg(*aggs).first()
@@ -226,118 +236,105 @@ def _chunks(items: list, size: int) -> Iterable[list]:
     return (items[i : i + size] for i in range(0, len(items), size))
 
 
-def bucket_edges(df: DataFrame, values: Mapping[str, Column], bits: int = BUCKET_BITS) -> dict[str, list[float]]:
-    """At most ``2**bits - 1`` cut points per value list, each at an equal share of the rows."""
-    n = 1 << bits
+def bucket_edges(df: DataFrame, values: Mapping[str, Column], bucket_rows: int = BUCKET_ROWS) -> dict[str, list[float]]:
+    """Cut points per value list, at equal shares of the rows; as many as its size asks for."""
+    n = 1 << BUCKET_BITS
     shares = [i / n for i in range(1, n)]
-    sketched = sketched_quantiles(df, values, {name: shares for name in values})
-    return {name: sorted(set(q)) for name, (_, _, _, q) in sketched.items()}
+    sketched = sketched_quantiles(df, values, {name: shares for name in values}, BUCKET_SKETCH_K)
+    out = {}
+    for name, (count, _, _, q) in sketched.items():
+        wanted = max(8, min(n, count // bucket_rows))
+        out[name] = sorted(set(q[:: max(1, n // wanted)]))
+    return out
 
 
-def edge_position(edges: Column, v: Column, bits: int = BUCKET_BITS) -> Column:
-    """How many of the sorted ``edges`` (fewer than ``2**bits``) are at or below ``v``."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(edges, at + step - F.lit(1)) <= v, at + step).otherwise(at),
+def edge_position(edges: Sequence[float], value: str) -> Column:
+    """How many of the sorted ``edges`` are at or below the ``value`` column."""
+    if len(edges) < TREE_EDGES:
+        return F.expr(_tree_sql([float(e) for e in edges], 0, len(edges), value))
+    steps = [1 << i for i in reversed(range(len(edges).bit_length()))]
+    held = doubles_sql(edges)
+    return F.expr(
+        f"aggregate({sql_literal(steps)}, 0, (at, step) -> case when get({held}, at + step - 1) <= {value} then at + step else at end)"
     )
 
 
-def _edge_table(df: DataFrame, edges: Mapping[str, Sequence[float]], key: str) -> DataFrame:
-    rows = [(name, [float(x) for x in e]) for name, e in edges.items()]
-    return F.broadcast(local_table(df.sparkSession, rows, f"`{key}` string, edges array<double>"))
-
-
-def bucketed(
-    rows: DataFrame, key: str, value: str, edges: Mapping[str, Sequence[float]], bits: int = BUCKET_BITS
-) -> DataFrame:
-    """``rows`` with the ordered ``bucket`` of each value; ``edges`` is kept per ``key``."""
+def _tree_sql(edges: Sequence[float], lo: int, hi: int, value: str) -> str:
+    """Nested comparisons, which compile; ``lo`` to ``hi`` are the answers still possible."""
+    if lo == hi:
+        return str(lo)
+    mid = (lo + hi) // 2
     return (
-        rows.join(_edge_table(rows, edges, key), key)
-        .withColumn("bucket", edge_position(F.col("edges"), F.col(value), bits))
-        .drop("edges")
+        f"case when {value} < {sql_literal(edges[mid])} then {_tree_sql(edges, lo, mid, value)} "
+        f"else {_tree_sql(edges, mid + 1, hi, value)} end"
     )
 
 
-def running_counts(
-    freq: DataFrame,
-    key: str,
-    value: str,
-    edges: Mapping[str, Sequence[float]],
-    cnt: str = "cnt",
-    bits: int = BUCKET_BITS,
-) -> DataFrame:
-    """Adds ``before``: how many of the key's values are smaller.
+def running_counts(freq: DataFrame, value: str, edges: Sequence[float], cnt: str = "cnt") -> DataFrame:
+    """Adds ``before``: how many values are smaller.
 
     ``freq`` holds one row per distinct value, so a value shared by many rows is one row here.
     """
-    b = bucketed(freq, key, value, edges, bits)
-    earlier = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    b = freq.withColumn("bucket", edge_position(edges, value))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
     offsets = (
-        b.groupBy(key, "bucket")
+        b.groupBy("bucket")
         .agg(F.sum(cnt).alias("total"))
-        .select(key, "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
+        .select("bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
     )
-    inside = Window.partitionBy(key, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
         b.withColumn("inside", F.coalesce(F.sum(cnt).over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), [key, "bucket"])  # at most 2**bits rows per key
+        .join(F.broadcast(offsets), "bucket")
         .withColumn("before", F.col("offset") + F.col("inside"))
         .drop("bucket", "offset", "inside")
     )
 
 
-def average_ranks(
-    rows: DataFrame, key: str, value: str, edges: Mapping[str, Sequence[float]], bits: int = BUCKET_BITS
-) -> DataFrame:
-    """``(key, value, cnt, rank)``: 1-based rank of each distinct value, ties sharing their mean rank."""
-    freq = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return running_counts(freq, key, value, edges, bits=bits).select(
-        key, value, "cnt", (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias("rank")
+def average_ranks(rows: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
+    """``(value, cnt, rank)``: 1-based rank of each distinct value, ties sharing their mean rank."""
+    freq = rows.groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))
+    return running_counts(freq, value, edges).select(
+        value, "cnt", (F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).alias("rank")
     )
 
 
-def with_previous(
-    distinct: DataFrame, key: str, value: str, edges: Mapping[str, Sequence[float]], bits: int = BUCKET_BITS
-) -> DataFrame:
-    """Adds ``previous``: the next smaller value of the same key (values must be distinct)."""
-    b = bucketed(distinct, key, value, edges, bits)
-    order = Window.partitionBy(key).orderBy("bucket")
+def with_previous(distinct: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
+    """Adds ``previous``: the next smaller value (values must be distinct)."""
+    b = distinct.withColumn("bucket", edge_position(edges, value))
     carried = (
-        b.groupBy(key, "bucket")
+        b.groupBy("bucket")
         .agg(F.max(value).alias("last"))
-        .select(key, "bucket", F.lag("last").over(order).alias("carried"))
+        .select("bucket", F.lag("last").over(Window.orderBy("bucket")).alias("carried"))  # a row per bucket
     )
-    inside = Window.partitionBy(key, "bucket").orderBy(value)
+    inside = Window.partitionBy("bucket").orderBy(value)
     return (
         b.withColumn("near", F.lag(value).over(inside))
-        .join(F.broadcast(carried), [key, "bucket"])  # at most 2**bits rows per key
+        .join(F.broadcast(carried), "bucket")
         .withColumn("previous", F.coalesce("near", "carried"))
         .drop("bucket", "near", "carried")
     )
 
 
-def with_position(
-    rows: DataFrame, value: str, tie: str, bits: int = BUCKET_BITS
-) -> DataFrame:
+def with_position(rows: DataFrame, value: str, tie: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``position`` (1-based by ``value`` then ``tie``, both numeric) and ``total``.
 
     A value that sits on a cut point gets a bucket of its own, and such a bucket is cut
     again by ``tie``; a value shared by a third of all rows therefore spreads as well.
     """
     as_double = {c: F.col(c).cast("double") for c in (value, tie)}
-    edges = bucket_edges(rows, as_double, bits)
-    by_value = F.array(*[F.lit(x) for x in edges[value]]).cast("array<double>")
-    by_tie = F.array(*[F.lit(x) for x in edges[tie]]).cast("array<double>")
+    edges = bucket_edges(rows, as_double, bucket_rows)
+    by_value = F.expr(doubles_sql(edges[value]))
     placed = (
-        rows.withColumn("_at", edge_position(by_value, as_double[value], bits))
+        rows.withColumn("_v", as_double[value])
+        .withColumn("_t", as_double[tie])
+        .withColumn("_at", edge_position(edges[value], "_v"))
         .withColumn(
-            "_on_edge", F.coalesce(F.get(by_value, F.col("_at") - 1) == as_double[value], F.lit(False))
+            "_on_edge", F.coalesce(F.get(by_value, F.col("_at") - 1) == F.col("_v"), F.lit(False))
         )
         .withColumn("_bucket", F.col("_at") * 2 + F.when(F.col("_on_edge"), 0).otherwise(1))
-        .withColumn("_part", F.when(F.col("_on_edge"), edge_position(by_tie, as_double[tie], bits)).otherwise(0))
-        .drop("_at", "_on_edge")
+        .withColumn("_part", F.when(F.col("_on_edge"), edge_position(edges[tie], "_t")).otherwise(0))
+        .drop("_at", "_on_edge", "_v", "_t")
     )
     sizes = placed.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("_size"))
     # parts of the buckets on a cut point are summed per bucket first, so no window sees them all

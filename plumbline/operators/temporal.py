@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import iso_text
+from plumbline.functions import integer_prefix, iso_text
 from plumbline.operators.columns import Cell, cells, local_table, wide
 from plumbline.operators.ordering import (
     Target,
@@ -105,28 +105,17 @@ def temporal_stats(df: DataFrame, columns: Iterable[str] | None = None) -> DataF
     )
 
 
-def moments_in_time(df: DataFrame, column: str) -> DataFrame:
-    """``(column, value, cnt)``: distinct milliseconds of one time column and their row counts."""
-    cell = cells(df, [column])[0]
-    return (
-        df.select(cell.millis().cast("double").alias("value"))
-        .where(F.col("value").isNotNull())
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .select(F.concat(F.lit(column), F.left(F.col("cnt").cast("string"), F.lit(0))).alias("column"), "value", "cnt")
-    )
-
-
 def time_gaps(df: DataFrame, column: str) -> DataFrame:
     """``(value, gap_ms, count)``: milliseconds since the previous row in time order.
 
     Rows sharing a moment are one row here: the first of them has the gap to the previous
     moment, and ``count - 1`` further rows have gap 0.
     """
-    cell = cells(df, [column])[0]
-    edges = bucket_edges(df, {column: cell.millis().cast("double")})
-    spaced = with_previous(moments_in_time(df, column), "column", "value", edges)
-    return spaced.select("value", (F.col("value") - F.col("previous")).alias("gap_ms"), F.col("cnt").alias("count"))
+    ms = df.select(cells(df, [column])[0].millis().cast("double").alias("value")).where(F.col("value").isNotNull())
+    edges = bucket_edges(ms, {column: F.col("value")})[column]
+    distinct = ms.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    spaced = with_previous(distinct, "value", edges)
+    return spaced.select("value", (F.col("value") - F.col("previous")).alias("gap_ms"), "count")
 
 
 def date_pattern(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -178,17 +167,11 @@ def _calendar_share(df: DataFrame, column: str, part, names, label: str) -> Data
 
 def year_gaps(df: DataFrame, column: str) -> DataFrame:
     """``(from_year, to_year)`` wherever consecutive years of the column differ by more than one."""
-    from plumbline.functions import integer_prefix
-
     cell = cells(df, [column])[0]
     year = cell.year() if cell.is_time else integer_prefix(cell.text())
     years = df.select(year.cast("double").alias("value")).where(F.col("value").isNotNull())
-    edges = bucket_edges(years, {column: F.col("value")})
-    # an attribute as key keeps the joins below equi-joins
-    distinct = years.distinct().select(
-        F.concat(F.lit(column), F.left(F.col("value").cast("string"), F.lit(0))).alias("column"), "value"
-    )
-    spaced = with_previous(distinct, "column", "value", edges)
+    edges = bucket_edges(years, {column: F.col("value")})[column]
+    spaced = with_previous(years.distinct(), "value", edges)
     return spaced.where(F.col("value") > F.col("previous") + 1).select(
         F.col("previous").cast("int").alias("from_year"), F.col("value").cast("int").alias("to_year")
     )
