@@ -714,7 +714,7 @@ def _charts() -> None:
         return (
             f"with h as (select *, md5(cast({key} as varchar) || '|{SEED}') as h, count(*) over (partition by {col}) as sc, count(*) over () as tc from {t}), "
             f"q as (select *, row_number() over (partition by {col} order by h, {key}) as rn, greatest(1, floor({k}.0::double * sc / tc + 0.5)) as quota from h) "
-            f"select * exclude (h, sc, tc, rn, quota) from q where rn <= quota order by h, {key} limit {k}"
+            f"select * exclude (h, sc, tc, rn, quota) from q where rn <= quota order by md5(h || 'trim'), {key} limit {k}"
         )
 
     register(

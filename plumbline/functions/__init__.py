@@ -2,6 +2,7 @@ from plumbline.functions.scalars import (
     bin_label,
     clamp_non_negative,
     epoch_ms,
+    fixed_text,
     frequency_key,
     in_domain,
     integer_prefix,
@@ -26,6 +27,7 @@ __all__ = [
     "bin_label",
     "clamp_non_negative",
     "epoch_ms",
+    "fixed_text",
     "frequency_key",
     "in_domain",
     "integer_prefix",

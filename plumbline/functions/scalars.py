@@ -111,8 +111,27 @@ def percent(part: Column, whole: Column, digits: int | None = None) -> Column:
     return p if digits is None else F.round(p, digits)
 
 
+def fixed_text(c: Column, digits: int = 2) -> Column:
+    """Fixed-point text, rounded by the exact value of the double: 36.05, stored a little
+    below, gives ``36.0`` at one digit.  True ties go away from zero.
+
+    The scaled value is kept as a product and its rounding error, which together are exact.
+    """
+    scale = F.lit(10.0**digits)
+    x = F.abs(c)
+    high = x * F.lit(134217729.0)
+    high = high - (high - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    part = product - F.floor(product)
+    up = (part > 0.5) | ((part == 0.5) & (error >= 0))
+    near = (F.floor(product) + F.when(up, 1).otherwise(0)) / scale
+    small = x < F.lit(4503599627370496.0) / scale
+    return F.format_string(f"%.{digits}f", F.when(small, F.signum(c) * near).otherwise(c))
+
+
 def percent_text(p: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f", p)
+    return fixed_text(p, digits)
 
 
 def round_half_up(c: Column) -> Column:
@@ -125,7 +144,7 @@ def clamp_non_negative(c: Column) -> Column:
 
 
 def bin_label(lo: Column, hi: Column) -> Column:
-    return F.format_string("%.2f - %.2f", lo, hi)
+    return F.concat(fixed_text(lo, 2), F.lit(" - "), fixed_text(hi, 2))
 
 
 def is_postcode(c: Column) -> Column:

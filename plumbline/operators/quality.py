@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions import in_domain, integer_prefix, is_icd10, is_postcode, loose_number
+from plumbline.functions import fixed_text, in_domain, integer_prefix, is_icd10, is_postcode, loose_number
 from plumbline.operators import rules
 from plumbline.operators.columns import MAX_AGGREGATES, Cell, cells, local_table, long, settle
 from plumbline.operators.duplicates import duplicate_count
@@ -80,7 +80,7 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
                     hit.cast("bigint").alias("affected"),
                     pct.alias("pct"),
                     _ladder(pct, c.ladder, 2, "int").alias("deduction"),
-                    F.format_string(c.text, hit.cast("bigint"), pct).alias("description"),
+                    F.format_string(c.text, hit.cast("bigint"), fixed_text(pct)).alias("description"),
                 )
             )
         parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))).where(F.col("severity").isNotNull()))
@@ -101,7 +101,7 @@ def completeness_checks(df: DataFrame) -> list[Check]:
     out = [
         Check(
             "Completeness", "missing_values", c.name, F.count_if(c.missing), rules.MISSING_LADDER,
-            f'Column "{_safe(c.name)}": %d cells missing (%.2f%%)',
+            f'Column "{_safe(c.name)}": %d cells missing (%s%%)',
         )
         for c in every
     ]
@@ -109,7 +109,7 @@ def completeness_checks(df: DataFrame) -> list[Check]:
     out.append(
         Check(
             "Completeness", "incomplete_rows", None, F.count_if(empty > len(every) * 0.5), rules.INCOMPLETE_LADDER,
-            "%d rows (%.2f%%) miss more than half of their cells",
+            "%d rows (%s%%) miss more than half of their cells",
         )
     )
     return out
@@ -140,7 +140,7 @@ def mixed_type_checks(df: DataFrame) -> list[Check]:
         out.append(
             Check(
                 "Consistency", "mixed_types", c.name, rest, rules.ANY_MAJOR,
-                f'Column "{_safe(c.name)}" mixes data types: %d cells (%.2f%%) are not of its main type', whole=all_,
+                f'Column "{_safe(c.name)}" mixes data types: %d cells (%s%%) are not of its main type', whole=all_,
             )
         )
     return out
@@ -151,7 +151,7 @@ def share_checks(df: DataFrame) -> list[Check]:
     return [
         Check(
             "Consistency", "logical_inconsistency", c.name, F.count_if(number_of(c) > rules.SHARE_LIMIT),
-            rules.ANY_MAJOR, f'Column "{_safe(c.name)}": %d values (%.2f%%) exceed 100',
+            rules.ANY_MAJOR, f'Column "{_safe(c.name)}": %d values (%s%%) exceed 100',
         )
         for c in cells(df, named)
     ]
@@ -178,7 +178,7 @@ def _grown(row: DataFrame, category: str, kind: str, column: str | None, type_:
 
 def duplicate_issue(df: DataFrame) -> DataFrame:
     counted = duplicate_count(df).select(F.col("duplicates").alias("affected"), "pct")
-    text = F.format_string("%d rows (%.2f%%) repeat an earlier row", F.col("affected").cast("bigint"), "pct")
+    text = F.format_string("%d rows (%s%%) repeat an earlier row", F.col("affected").cast("bigint"), fixed_text(F.col("pct")))
     return _grown(counted, "Consistency", "issue", None, "duplicate_rows", rules.DUPLICATE_LADDER, text)
 
 
@@ -211,7 +211,7 @@ def outlier_checks(df: DataFrame, columns: Sequence[str]) -> list[Check]:
         out.append(
             Check(
                 "Accuracy", "outliers", c.name, F.count_if(outside(v, q["lower_bound"], q["upper_bound"])),
-                rules.OUTLIER_LADDER, f'Column "{_safe(c.name)}": %d values (%.2f%%) beyond the interquartile fences',
+                rules.OUTLIER_LADDER, f'Column "{_safe(c.name)}": %d values (%s%%) beyond the interquartile fences',
                 whole=F.count(v), type_by_severity={"major": "extreme_outliers"},
             )
         )
@@ -228,7 +228,7 @@ def person_checks(df: DataFrame) -> list[Check]:
         out.append(
             Check(
                 "Accuracy", "unrealistic_values", name, F.count_if((v < m.low) | (v > m.high)), rules.ANY_MAJOR,
-                f'Column "{_safe(name)}": %d values (%.2f%%) outside {m.low:g} to {m.high:g}',
+                f'Column "{_safe(name)}": %d values (%s%%) outside {m.low:g} to {m.high:g}',
             )
         )
     return out
@@ -245,7 +245,7 @@ def validity_checks(df: DataFrame, match: str = "substring") -> list[Check]:
         out.append(
             Check(
                 "Validity", "invalid_format", name, F.count_if(~c.missing & ~is_postcode(c.text())), rules.ANY_MINOR,
-                f'Column "{_safe(name)}": %d values (%.2f%%) are not four-digit postcodes',
+                f'Column "{_safe(name)}": %d values (%s%%) are not four-digit postcodes',
             )
         )
     for m in rules.MEASUREMENTS:
@@ -255,7 +255,7 @@ def validity_checks(df: DataFrame, match: str = "substring") -> list[Check]:
                 Check(
                     "Validity", "invalid_health_measurement", c.name, F.count_if((v < m.low) | (v > m.high)),
                     rules.HEALTH_LADDER,
-                    f'Column "{_safe(c.name)}": %d values (%.2f%%) outside {m.low:g} to {m.high:g} for {m.name}',
+                    f'Column "{_safe(c.name)}": %d values (%s%%) outside {m.low:g} to {m.high:g} for {m.name}',
                 )
             )
     return out
@@ -269,7 +269,7 @@ def range_checks(df: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> D
         out.append(
             Check(
                 "Accuracy", "unrealistic_values", name, F.count_if((v < float(low)) | (v > float(high))),
-                rules.ANY_MAJOR, f'Column "{_safe(name)}": %d values (%.2f%%) outside {low:g} to {high:g}',
+                rules.ANY_MAJOR, f'Column "{_safe(name)}": %d values (%s%%) outside {low:g} to {high:g}',
             )
         )
     return run_checks(df, out)
@@ -416,7 +416,7 @@ def unit_value_checks(df: DataFrame) -> list[Check]:
             out.append(
                 Check(
                     "Australian Context", "suspicious_unit", c.name, F.count_if(number_of(c) > rules.UNIT_VALUE_LIMIT),
-                    ((50.0, "major", 5),), f'Column "{_safe(c.name)}": %d values (%.2f%%) look like mg/dL',
+                    ((50.0, "major", 5),), f'Column "{_safe(c.name)}": %d values (%s%%) look like mg/dL',
                 )
             )
     return out
@@ -430,7 +430,7 @@ def diagnosis_checks(df: DataFrame) -> list[Check]:
                 Check(
                     "Australian Context", "non_standard_classification", c.name,
                     F.count_if(~c.missing & ~is_icd10(c.raw)), ((50.0, "minor", 1),),
-                    f'Column "{_safe(c.name)}": %d values (%.2f%%) are no ICD-10 codes',
+                    f'Column "{_safe(c.name)}": %d values (%s%%) are no ICD-10 codes',
                     whole=F.count_if(~c.missing), kind="warning",
                 )
             )

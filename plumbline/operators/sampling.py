@@ -43,7 +43,8 @@ def reservoir_sample(df: DataFrame, k: int, key: Sequence[str] | None = None, se
 def stratified_sample(
     df: DataFrame, stratum: str, k: int, key: Sequence[str] | None = None, seed: int | str = 0
 ) -> DataFrame:
-    """Per stratum ``max(1, round(k * share))`` rows, then cut to ``k``.
+    """Per stratum ``max(1, round(k * share))`` rows, then cut to ``k`` by a hash of its own,
+    so that the final cut falls on all strata alike.
 
     A first cut within ``(stratum, salt)`` bounds what any one task orders, however large
     the stratum is.
@@ -69,7 +70,8 @@ def stratified_sample(
         .withColumn("_r", F.row_number().over(second))
         .where(F.col("_r") <= F.col("_quota"))
     )
-    return kept.orderBy("_h", *ties).limit(k).drop("_h", "_s", "_r", "_quota")
+    trim = F.md5(F.concat("_h", F.lit("trim")))
+    return kept.orderBy(trim, *ties).limit(k).drop("_h", "_s", "_r", "_quota")
 
 
 def adaptive_sample(

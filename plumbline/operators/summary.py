@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import fixed_text
 from plumbline.operators.columns import Cell, cells, number_cells, wide
 
 
@@ -138,6 +139,8 @@ def missing_share_warnings(
             "column",
             "missing",
             "missing_pct",
-            F.format_string('Column "%s" has %.1f%% missing values', "column", "missing_pct").alias("message"),
+            F.format_string(
+                'Column "%s" has %s%% missing values', "column", fixed_text(F.col("missing_pct"), 1)
+            ).alias("message"),
         )
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import fixed_text
 from plumbline.operators.columns import local_table
 
 # Fixed values: (trigger section, trigger kind, trigger severity, advice, priority).
@@ -71,24 +72,24 @@ def insights(df: DataFrame, features: DataFrame, pairs: DataFrame) -> DataFrame:
         ),
         _rows(
             features.where("missing > 0"), "quality_issues", "missing_values",
-            F.format_string('"%s": %d missing values (%.2f%%)', "column", "missing", "missing_pct"),
+            F.format_string('"%s": %d missing values (%s%%)', "column", "missing", fixed_text(F.col("missing_pct"))),
             column, _severity(F.round("missing_pct", 2), 20, 5),
         ),
         _rows(
             features.where((F.col("type") == "numeric") & (F.col("outliers") > 0)), "quality_issues", "outliers",
-            F.format_string('"%s": %d outliers (%.2f%%)', "column", "outliers", "outlier_pct"),
+            F.format_string('"%s": %d outliers (%s%%)', "column", "outliers", fixed_text(F.col("outlier_pct"))),
             column, _severity(F.round("outlier_pct", 2), 10, 2),
         ),
         _rows(
             features.where((F.col("type") == "numeric") & (F.abs("skewness") > 1)), "distribution_insights",
             "skewed_distribution",
-            F.format_string('"%s" is %s (skewness %.2f)', "column",
-                            F.when(skew > 0, "right-skewed").otherwise("left-skewed"), "skewness"),
+            F.format_string('"%s" is %s (skewness %s)', "column",
+                            F.when(skew > 0, "right-skewed").otherwise("left-skewed"), fixed_text(skew)),
             column, advice=F.when(skew > 1, "Try a log transformation"),
         ),
         _rows(
             features.where((F.col("type") == "numeric") & (F.col("variance") < 0.01)), "distribution_insights",
-            "low_variance", F.format_string('"%s" hardly varies (variance %.6f)', "column", "variance"),
+            "low_variance", F.format_string('"%s" hardly varies (variance %s)', "column", fixed_text(F.col("variance"), 6)),
             column, advice="Unlikely to help a prediction",
         ),
         _rows(
@@ -99,13 +100,13 @@ def insights(df: DataFrame, features: DataFrame, pairs: DataFrame) -> DataFrame:
         _rows(
             features.where((F.col("type") == "categorical") & (F.round("most_pct", 2) > 80)), "distribution_insights",
             "imbalanced_categories",
-            F.format_string('"%s" is mostly "%s" (%.2f%%)', "column", "most_frequent", "most_pct"),
+            F.format_string('"%s" is mostly "%s" (%s%%)', "column", "most_frequent", fixed_text(F.col("most_pct"))),
             column, advice="Balance the classes before modelling",
         ),
         _rows(
             pairs.where(r > 0.7), "correlation_insights",
             F.when(r > 0.9, "strong_correlation").otherwise("moderate_correlation"),
-            F.format_string('"%s" and "%s" correlate %sly (%.2f)', "feature1", "feature2", "strength", "correlation"),
+            F.format_string('"%s" and "%s" correlate %sly (%s)', "feature1", "feature2", "strength", fixed_text(F.col("correlation"))),
             both, advice=F.when(r > 0.9, "Drop one of the two").otherwise("Mind multicollinearity"),
         ),
     ]
