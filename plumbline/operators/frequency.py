@@ -60,19 +60,24 @@ def fold_tail(counts: DataFrame, top: int, other: str) -> DataFrame:
     totals = counts.groupBy("column").agg(
         F.sum("count").alias("column_count"), F.count(F.lit(1)).alias("unique_count")
     )
-    shown = head.groupBy("column").agg(F.sum("count").alias("shown"))
-    per_column = F.broadcast(totals)  # one row per column
-    tail = (
-        totals.join(F.broadcast(shown), "column")
-        .where(F.col("column_count") > F.col("shown"))
+    # the rest of a column follows its last shown value; these windows see `top` rows per column
+    shown = Window.partitionBy("column")
+    rest = F.col("column_count") - F.col("shown")
+    itself = F.struct("value", "count", "rank")
+    tail = F.struct(F.lit(other).alias("value"), rest.alias("count"), F.lit(top + 1).alias("rank"))
+    return (
+        head.withColumn("shown", F.sum("count").over(shown))
+        .withColumn("last", F.max("rank").over(shown))
+        .join(F.broadcast(totals), "column")  # one row per column
         .select(
             "column",
-            F.lit(other).alias("value"),
-            (F.col("column_count") - F.col("shown")).alias("count"),
-            F.lit(top + 1).alias("rank"),
+            F.inline(
+                F.when((F.col("rank") == F.col("last")) & (rest > 0), F.array(itself, tail)).otherwise(F.array(itself))
+            ),
+            "column_count",
+            "unique_count",
         )
     )
-    return head.unionByName(tail).join(per_column, "column")
 
 
 def categorical_profile(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

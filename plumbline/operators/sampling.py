@@ -22,13 +22,30 @@ def _hash(df: DataFrame, key: Sequence[str] | None, seed: int | str) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def _cutoff(wanted: Column, size: Column) -> Column:
+    """Hash text below which slightly more than ``wanted`` of ``size`` rows are expected."""
+    share = (wanted + F.sqrt(wanted) * 10 + 30) / size
+    prefix = F.lower(F.lpad(F.hex(F.floor(share * F.lit(4294967296.0)).cast("bigint")), 8, "0"))
+    return F.when(share >= 1, F.lit("g")).otherwise(prefix)
+
+
 def random_sample(
     df: DataFrame, k: int, key: Sequence[str] | None = None, seed: int | str = 0
 ) -> DataFrame:
-    """Exactly ``min(k, n)`` rows, without replacement.  ``key`` should identify a row."""
+    """Exactly ``min(k, n)`` rows, without replacement.  ``key`` should identify a row.
+
+    Rows whose hash is too large to be among the first ``k`` are dropped while scanning, once
+    a count has shown that enough are left; what is sorted then has about ``k`` rows in all.
+    """
+    total = df.count()
+    if total <= k:
+        return df
     names = list(key) if key else df.columns
     hashed = df.withColumn("_h", _hash(df, key, seed))
-    return hashed.orderBy("_h", *[F.col(f"`{n}`") for n in names if _sortable(df, n)]).limit(k).drop("_h")
+    near = hashed.where(F.col("_h") < _cutoff(F.lit(float(k)), F.lit(float(total))))
+    if near.count() < k:  # copies of a row share a hash, so few hashes may hold many rows
+        near = hashed
+    return near.orderBy("_h", *[F.col(f"`{n}`") for n in names if _sortable(df, n)]).limit(k).drop("_h")
 
 
 def _sortable(df: DataFrame, name: str) -> bool:
@@ -46,8 +63,9 @@ def stratified_sample(
     """Per stratum ``max(1, round(k * share))`` rows, then cut to ``k`` by a hash of its own,
     so that the final cut falls on all strata alike.
 
-    A first cut within ``(stratum, salt)`` bounds what any one task orders, however large
-    the stratum is.
+    Rows that cannot be among their stratum's smallest hashes are dropped while scanning, once
+    a count has shown that every stratum keeps enough; a first cut within ``(stratum, salt)``
+    bounds what one task orders even where they are not.
     """
     total = df.count()
     if total <= k:
@@ -56,22 +74,29 @@ def stratified_sample(
     label = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
     hashed = df.withColumn("_h", _hash(df, key, seed)).withColumn("_s", label)
     ties = [F.col(f"`{n}`") for n in names if _sortable(df, n)]
-    salt = F.pmod(F.xxhash64("_h"), F.lit(SALTS))
-    first = Window.partitionBy("_s", "_salt").orderBy("_h", *ties)
-    cut = hashed.withColumn("_salt", salt).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
     quotas = df.groupBy(label.alias("_s")).agg(F.count(F.lit(1)).alias("_n")).select(
         "_s",
+        "_n",
         F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(k)) / F.lit(float(total)) + 0.5)).alias("_quota"),
     )
+    rows = hashed.join(quotas, "_s")
+    near = rows.where(F.col("_h") < _cutoff(F.col("_quota").cast("double"), F.col("_n").cast("double")))
+    left = near.groupBy("_s").agg(F.count(F.lit(1)).alias("_left"))
+    short = quotas.join(left, "_s", "left").where(F.coalesce("_left", F.lit(0)) < F.col("_quota"))
+    if not short.isEmpty():
+        near = rows
+    salt = F.pmod(F.xxhash64("_h"), F.lit(SALTS))
+    first = Window.partitionBy("_s", "_salt").orderBy("_h", *ties)
     second = Window.partitionBy("_s").orderBy("_h", *ties)
     kept = (
-        cut.drop("_salt", "_r")
-        .join(quotas, "_s")
+        near.withColumn("_salt", salt)
+        .withColumn("_r", F.row_number().over(first))
+        .where(F.col("_r") <= F.col("_quota"))
         .withColumn("_r", F.row_number().over(second))
         .where(F.col("_r") <= F.col("_quota"))
     )
     trim = F.md5(F.concat("_h", F.lit("trim")))
-    return kept.orderBy(trim, *ties).limit(k).drop("_h", "_s", "_r", "_quota")
+    return kept.orderBy(trim, *ties).limit(k).drop("_h", "_s", "_r", "_quota", "_n", "_salt")
 
 
 def adaptive_sample(

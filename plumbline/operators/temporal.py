@@ -181,19 +181,26 @@ def downsample(df: DataFrame, column: str, max_points: int = 1000, tie: str | No
     """Every ``floor(n / max_points)``-th row in time order plus the last one.
 
     Rows without a readable time are not part of the series.  ``tie`` (a numeric column)
-    orders rows that share a moment; by default a hash of the row does.
+    orders rows that share a moment and should be unique among them; by default a hash of the
+    row does.
     """
     cell = cells(df, [column])[0]
-    tied = F.col(tie) if tie else F.xxhash64(*[F.col(f"`{n}`") for n in df.columns])
+    tied = F.col(f"`{tie}`") if tie else F.xxhash64(*[F.col(f"`{n}`") for n in df.columns])
     rows = df.select("*", cell.millis().alias("_ms"), tied.alias("_tie")).where(F.col("_ms").isNotNull())
-    placed = with_position(rows, "_ms", "_tie")
+    # positions need the two sort keys alone; whole rows are fetched for the picked keys only
+    placed = with_position(rows.select("_ms", "_tie"), "_ms", "_tie")
     step = F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(max_points)))
     wanted = (
         (F.col("total") <= max_points)
         | ((F.col("position") - 1) % step == 0)
         | (F.col("position") == F.col("total"))
     )
-    return placed.where(wanted).drop("_ms", "_tie", "position", "total")
+    picks = placed.where(wanted).groupBy("_ms", "_tie").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    # at most two picks per point
+    found = rows.join(F.broadcast(picks), ["_ms", "_tie"]).dropDuplicates(["_ms", "_tie"])
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
+        *[F.col(f"`{n}`") for n in df.columns]
+    )
 
 
 def time_series(df: DataFrame, column: str, max_points: int = 1000, tie: str | None = None) -> DataFrame:

@@ -87,20 +87,24 @@ def treemap(df: DataFrame, category: str, value: str) -> DataFrame:
 def crosstab(df: DataFrame, row: str, column: str, side: int = HEATMAP_SIDE) -> DataFrame:
     """``(row, column, count)`` for the most frequent values of both columns, zeros included.
 
-    One aggregation over the table; margins and zeros come from its result.
+    The kept labels come from the counts of each column alone, so only pairs of kept labels
+    are ever counted together.
     """
-    pairs = df.groupBy(_label(df, row).alias("row"), _label(df, column).alias("column")).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    labels = df.select(_label(df, row).alias("row"), _label(df, column).alias("column"))
 
     def kept(name: str) -> DataFrame:
-        size = pairs.groupBy(name).agg(F.sum("cnt").alias("size"))
-        return size.orderBy(F.desc("size"), name).limit(side).select(name)
-
-    # at most `side` labels on each axis
+        size = labels.groupBy(name).agg(F.count(F.lit(1)).alias("size"))
+        return F.broadcast(size.orderBy(F.desc("size"), name).limit(side).select(name))  # `side` rows
+
+    pairs = (
+        labels.join(kept("row"), "row", "left_semi")
+        .join(kept("column"), "column", "left_semi")
+        .groupBy("row", "column")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
     columns = kept("column").agg(F.collect_list("column").alias("labels"))
     grid = kept("row").select("row", F.explode(columns.scalar()).alias("column"))
-    return grid.join(pairs, ["row", "column"], "left").select(
+    return grid.join(F.broadcast(pairs), ["row", "column"], "left").select(
         "row", "column", F.coalesce("cnt", F.lit(0)).alias("count")
     )
 
