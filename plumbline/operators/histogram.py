@@ -40,7 +40,7 @@ def histogram(df: DataFrame, columns: Iterable[str] | None = None, bins: int = 1
     count = F.coalesce("cnt", F.lit(0))
     start = F.col("lo") + F.col("bin") * width
     end = F.col("lo") + (F.col("bin") + 1) * width
-    return spine.join(F.broadcast(counted), ["column", "bin"], "left").select(  # bins rows per column
+    filled = spine.join(F.broadcast(counted), ["column", "bin"], "left").select(  # bins rows per column
         "column",
         "bin",
         start.alias("bin_start"),
@@ -48,5 +48,5 @@ def histogram(df: DataFrame, columns: Iterable[str] | None = None, bins: int = 1
         count.alias("count"),
         (count / F.col("n").cast("double")).alias("density"),
         (count * 100.0 / F.col("n").cast("double")).alias("percentage"),
-        bin_label(start, end).alias("label"),
     )
+    return filled.withColumn("label", bin_label(F.col("bin_start"), F.col("bin_end")))

@@ -55,42 +55,62 @@ def _ladder(value: Column, ladder, pick: int, dtype: str) -> Column:
     return out
 
 
+CHECK_SCHEMA = (
+    "seq int, category string, kind string, column string, type string, major_type string, text string, "
+    + ", ".join(f"limit{i} double, severity{i} string, deduction{i} int" for i in range(3))
+)
+
+
 def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Findings of the given checks, a few dozen aggregates per scan."""
-    parts = []
+    """Findings of the given checks: a few dozen aggregates per scan, then one row per check
+    against the table of their ladders and texts."""
+    if not checks:
+        return local_table(df.sparkSession, [], ISSUE_SCHEMA)
+    counted = []
     step = MAX_AGGREGATES // 2
     for i in range(0, len(checks), step):
-        chunk = checks[i : i + step]
-        aggs, rows = [], []
-        for j, c in enumerate(chunk):
-            aggs += [c.affected.alias(f"a{j}"), c.whole.alias(f"w{j}")]
-            hit, whole = F.col(f"a{j}"), F.col(f"w{j}").cast("double")
-            pct = F.try_divide(hit * 100.0, whole)
-            severity = F.when(hit > 0, _ladder(pct, c.ladder, 1, "string"))
-            kind_type = F.lit(c.type)
-            for s, t in c.type_by_severity.items():
-                kind_type = F.when(severity == s, t).otherwise(kind_type)
-            rows.append(
-                F.struct(
-                    F.lit(c.category).alias("category"),
-                    F.lit(c.kind).alias("kind"),
-                    F.lit(c.column).cast("string").alias("column"),
-                    kind_type.alias("type"),
-                    severity.alias("severity"),
-                    hit.cast("bigint").alias("affected"),
-                    pct.alias("pct"),
-                    _ladder(pct, c.ladder, 2, "int").alias("deduction"),
-                    F.format_string(c.text, hit.cast("bigint"), fixed_text(pct)).alias("description"),
-                )
-            )
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))).where(F.col("severity").isNotNull()))
-    if not parts:
-        return local_table(df.sparkSession, [], ISSUE_SCHEMA)
-    return reduce(DataFrame.unionByName, parts)
+        chunk = list(enumerate(checks))[i : i + step]
+        aggs = [x for j, c in chunk for x in (c.affected.alias(f"a{j}"), c.whole.alias(f"w{j}"))]
+        rows = ", ".join(f"{j}, a{j}, w{j}" for j, _ in chunk)
+        counted.append(df.agg(*aggs).selectExpr(f"stack({len(chunk)}, {rows}) as (seq, affected, whole)"))
+    table = local_table(df.sparkSession, [_check_row(j, c) for j, c in enumerate(checks)], CHECK_SCHEMA)
+    hits = reduce(DataFrame.unionAll, counted).where(F.col("affected") > 0)
+    pct = F.try_divide(F.col("affected") * 100.0, F.col("whole").cast("double"))
+    found = hits.join(F.broadcast(table), "seq").withColumn("pct", pct)  # one row per check
+    reached = [F.col("pct") > F.col(f"limit{i}") for i in range(3)]
+
+    def step_of(name: str) -> Column:
+        return F.when(reached[0], F.col(f"{name}0")).when(reached[1], F.col(f"{name}1")).when(reached[2], F.col(f"{name}2"))
+
+    major = F.col("severity") == "major"
+    return (
+        found.withColumn("severity", step_of("severity"))
+        .withColumn("deduction", step_of("deduction"))
+        .where(F.col("severity").isNotNull())
+        .select(
+            "category",
+            "kind",
+            "column",
+            F.when(major, F.coalesce("major_type", "type")).otherwise(F.col("type")).alias("type"),
+            "severity",
+            F.col("affected").cast("bigint").alias("affected"),
+            "pct",
+            "deduction",
+            _filled(F.col("text"), F.col("affected"), F.col("pct"), F.col("column")).alias("description"),
+        )
+    )
+
+
+def _filled(text: Column, affected: Column, pct: Column, column: Column) -> Column:
+    """The text with its numbers, and last the column's name, put in."""
+    counted = F.replace(text, F.lit("{affected}"), affected.cast("string"))
+    shared = F.replace(counted, F.lit("{share}"), fixed_text(pct))
+    return F.replace(shared, F.lit("{column}"), F.coalesce(column, F.lit("")))
 
 
-def _safe(name: str) -> str:
-    return name.replace("%", "%%")
+def _check_row(seq: int, c: Check) -> tuple:
+    steps = [x for s in c.ladder for x in (float(s[0]), s[1], s[2])]
+    return (seq, c.category, c.kind, c.column, c.type, c.type_by_severity.get("major"), c.text, *steps, *[None] * (9 - len(steps)))
 
 
 # -- completeness ------------------------------------------------------------------
@@ -101,7 +121,7 @@ def completeness_checks(df: DataFrame) -> list[Check]:
     out = [
         Check(
             "Completeness", "missing_values", c.name, F.count_if(c.missing), rules.MISSING_LADDER,
-            f'Column "{_safe(c.name)}": %d cells missing (%s%%)',
+            f'Column "{{column}}": {{affected}} cells missing ({{share}}%)',
         )
         for c in every
     ]
@@ -109,7 +129,7 @@ def completeness_checks(df: DataFrame) -> list[Check]:
     out.append(
         Check(
             "Completeness", "incomplete_rows", None, F.count_if(empty > len(every) * 0.5), rules.INCOMPLETE_LADDER,
-            "%d rows (%s%%) miss more than half of their cells",
+            "{affected} rows ({share}%) miss more than half of their cells",
         )
     )
     return out
@@ -140,7 +160,7 @@ def mixed_type_checks(df: DataFrame) -> list[Check]:
         out.append(
             Check(
                 "Consistency", "mixed_types", c.name, rest, rules.ANY_MAJOR,
-                f'Column "{_safe(c.name)}" mixes data types: %d cells (%s%%) are not of its main type', whole=all_,
+                f'Column "{{column}}" mixes data types: {{affected}} cells ({{share}}%) are not of its main type', whole=all_,
             )
         )
     return out
@@ -151,7 +171,7 @@ def share_checks(df: DataFrame) -> list[Check]:
     return [
         Check(
             "Consistency", "logical_inconsistency", c.name, F.count_if(number_of(c) > rules.SHARE_LIMIT),
-            rules.ANY_MAJOR, f'Column "{_safe(c.name)}": %d values (%s%%) exceed 100',
+            rules.ANY_MAJOR, f'Column "{{column}}": {{affected}} values ({{share}}%) exceed 100',
         )
         for c in cells(df, named)
     ]
@@ -211,7 +231,7 @@ def outlier_checks(df: DataFrame, columns: Sequence[str]) -> list[Check]:
         out.append(
             Check(
                 "Accuracy", "outliers", c.name, F.count_if(outside(v, q["lower_bound"], q["upper_bound"])),
-                rules.OUTLIER_LADDER, f'Column "{_safe(c.name)}": %d values (%s%%) beyond the interquartile fences',
+                rules.OUTLIER_LADDER, f'Column "{{column}}": {{affected}} values ({{share}}%) beyond the interquartile fences',
                 whole=F.count(v), type_by_severity={"major": "extreme_outliers"},
             )
         )
@@ -228,7 +248,7 @@ def person_checks(df: DataFrame) -> list[Check]:
         out.append(
             Check(
                 "Accuracy", "unrealistic_values", name, F.count_if((v < m.low) | (v > m.high)), rules.ANY_MAJOR,
-                f'Column "{_safe(name)}": %d values (%s%%) outside {m.low:g} to {m.high:g}',
+                f'Column "{{column}}": {{affected}} values ({{share}}%) outside {m.low:g} to {m.high:g}',
             )
         )
     return out
@@ -245,7 +265,7 @@ def validity_checks(df: DataFrame, match: str = "substring") -> list[Check]:
         out.append(
             Check(
                 "Validity", "invalid_format", name, F.count_if(~c.missing & ~is_postcode(c.text())), rules.ANY_MINOR,
-                f'Column "{_safe(name)}": %d values (%s%%) are not four-digit postcodes',
+                f'Column "{{column}}": {{affected}} values ({{share}}%) are not four-digit postcodes',
             )
         )
     for m in rules.MEASUREMENTS:
@@ -255,7 +275,7 @@ def validity_checks(df: DataFrame, match: str = "substring") -> list[Check]:
                 Check(
                     "Validity", "invalid_health_measurement", c.name, F.count_if((v < m.low) | (v > m.high)),
                     rules.HEALTH_LADDER,
-                    f'Column "{_safe(c.name)}": %d values (%s%%) outside {m.low:g} to {m.high:g} for {m.name}',
+                    f'Column "{{column}}": {{affected}} values ({{share}}%) outside {m.low:g} to {m.high:g} for {m.name}',
                 )
             )
     return out
@@ -269,7 +289,7 @@ def range_checks(df: DataFrame, ranges: Sequence[tuple[str, float, float]]) -> D
         out.append(
             Check(
                 "Accuracy", "unrealistic_values", name, F.count_if((v < float(low)) | (v > float(high))),
-                rules.ANY_MAJOR, f'Column "{_safe(name)}": %d values (%s%%) outside {low:g} to {high:g}',
+                rules.ANY_MAJOR, f'Column "{{column}}": {{affected}} values ({{share}}%) outside {low:g} to {high:g}',
             )
         )
     return run_checks(df, out)
@@ -416,7 +436,7 @@ def unit_value_checks(df: DataFrame) -> list[Check]:
             out.append(
                 Check(
                     "Australian Context", "suspicious_unit", c.name, F.count_if(number_of(c) > rules.UNIT_VALUE_LIMIT),
-                    ((50.0, "major", 5),), f'Column "{_safe(c.name)}": %d values (%s%%) look like mg/dL',
+                    ((50.0, "major", 5),), f'Column "{{column}}": {{affected}} values ({{share}}%) look like mg/dL',
                 )
             )
     return out
@@ -430,7 +450,7 @@ def diagnosis_checks(df: DataFrame) -> list[Check]:
                 Check(
                     "Australian Context", "non_standard_classification", c.name,
                     F.count_if(~c.missing & ~is_icd10(c.raw)), ((50.0, "minor", 1),),
-                    f'Column "{_safe(c.name)}": %d values (%s%%) are no ICD-10 codes',
+                    f'Column "{{column}}": {{affected}} values ({{share}}%) are no ICD-10 codes',
                     whole=F.count_if(~c.missing), kind="warning",
                 )
             )
