@@ -159,12 +159,6 @@ def _quote(name: str) -> str:
     return name.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def labelled_rows(df_row: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
-    """Several named rows out of each row of a small table."""
-    structs = [F.struct(*[v.alias(k) for k, v in r.items()]) for r in rows]
-    return df_row.select(F.inline(F.array(*structs)))
-
-
 def sql_literal(x) -> str:
     if x is None:
         return "null"

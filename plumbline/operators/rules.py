@@ -124,7 +124,3 @@ def first_named(names: list[str], exact: str, word: str, fold: bool = False) ->
 
 def dated_columns(names: list[str]) -> list[str]:
     return [n for n in names if "date" in n.lower() or "year" in n.lower()]
-
-
-def rating(score: float) -> str:
-    return next((name for limit, name in RATINGS if score < limit), BEST_RATING)
