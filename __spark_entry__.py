@@ -1262,6 +1262,20 @@ for _group in (_summaries, _order, _frequencies, _time, _correlations, _charts,
     _group()
 
 
+try:  # training-data operators, an optional part
+    import corpus_pipeline
+    from plumbline.llm import queries as _llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "plumbline.llm"):
+        raise
+else:
+    _QUERIES.update(_llm.QUERIES)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    _ORACLES.update(_llm.ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Column summary with mean, type and counts of every lineitem column."""
     return ops.column_summary(table(spark, SMOKE_DIR, "lineitem"))
