@@ -11,8 +11,8 @@ documents in the order of a seeded hash, of each ``piece_chars`` characters from
 middle, ``dict_bytes`` at most together.  Whole texts are classified.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0.  Rows without a
-language teach nothing.  Of equally small languages the first in code point order is
-chosen.  Without any sample every text is ``und``.  An empty table gives an empty result.
+language teach nothing.  Of equally small languages the one with more labelled rows, then the first in code point
+order, is chosen.  Without any sample every text is ``und``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ DICT_BYTES = 112_640
 #: Bytes compressed at a time.
 PIECE_BYTES = 8192
 LEVEL = 3
+#: Where the first pass saves less than this share, a stronger level decides.
+DOUBT, STRONG = 0.05, 12
 #: Share of bytes that the best dictionary must save against the next.
 MARGIN = 0.02
 UNKNOWN = "und"
@@ -48,26 +50,37 @@ def letters(text: str) -> bytes:
 @dataclass
 class Languages:
     dictionaries: dict[str, bytes]
-    level: int = LEVEL
+    rows: dict[str, int]  # labelled rows of each language: of equally small ones the more frequent is chosen
 
     def classifier(self):
         """A function from a text to (language, score, margin)."""
-        names, tools = sorted(self.dictionaries), []
-        for name in names:
-            d = zstandard.ZstdCompressionDict(self.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=self.level)
-            # no frame header beyond the least: it is the same for all
-            tools.append(zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_dict_id=False).compress)
+        names = sorted(self.dictionaries, key=lambda x: (-self.rows.get(x, 0), x))
 
-        def classify(text: str | None) -> tuple[str, float, float]:
-            raw = letters(text) if text else b""
-            if not raw or not names:
-                return UNKNOWN, 0.0, 0.0
+        def tools(level: int) -> list:
+            out = []
+            for name in names:
+                d = zstandard.ZstdCompressionDict(self.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=level)
+                out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False).compress)
+            return out
+
+        quick, strong = tools(LEVEL), tools(STRONG)
+
+        def sizes_of(raw: bytes, compressors: list) -> list[int]:
             sizes = [0] * len(names)
             for i in range(0, len(raw), PIECE_BYTES):
                 piece = raw[i : i + PIECE_BYTES]
-                for k, compress in enumerate(tools):
+                for k, compress in enumerate(compressors):
                     sizes[k] += len(compress(piece))
+            return sizes
+
+        def classify(text: str | None) -> tuple[str, float, float]:
+            raw = letters(text) if text else b""
+            if not raw or not names:
+                return UNKNOWN, 0.0, 0.0
+            sizes = sizes_of(raw, quick)
+            if len(names) > 1 and (least := sorted(sizes))[1] - least[0] < DOUBT * least[1]:
+                sizes = sizes_of(raw, strong)
             best = min(range(len(names)), key=lambda k: (sizes[k], k))
             if len(names) == 1:
                 return names[best], 1.0, 1.0
@@ -95,7 +108,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
     got: dict[str, list[tuple[int, bytes]]] = {}
     for r in pieces.collect():  # at most sample_docs short pieces for each language
         got.setdefault(r["lang"], []).append((r["hash"], letters(r["piece"])))
-    return Languages({name: b" ".join(p for _, p in sorted(parts))[-dict_bytes:] for name, parts in got.items()})
+    frequent = {r["lang"]: r["count"] for r in rows.groupBy(col(lang).alias("lang")).count().collect()}  # a row for each language
+    return Languages({name: b" ".join(p for _, p in sorted(parts))[-dict_bytes:] for name, parts in got.items()}, frequent)
 
 
 def identify(docs: DataFrame, languages: Languages, text: str = "text", margin: float | None = MARGIN, name: str = "lang_pred") -> DataFrame:

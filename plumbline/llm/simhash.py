@@ -31,7 +31,7 @@ from plumbline.llm.common import col, cut, hidden
 BITS = 64
 SEED = 42
 #: Fingerprints of one variant that are compared at a time.
-BLOCK = 1024
+BLOCK = 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -86,32 +86,29 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def _forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect all fingerprints that are chained by close pairs: fewer than there are fingerprints."""
-    links, todo, words = [], prints, prints.view(np.uint64)
-    root = np.arange(len(todo))
-    for i in range(0, len(words), BLOCK):
-        for j in range(i, len(words), BLOCK):
-            near = np.bitwise_count(words[i : i + BLOCK, None] ^ words[None, j : j + BLOCK]) <= radius
-            for a, b in np.argwhere(near):
-                a, b = int(a) + i, int(b) + j
-                if a < b:
-                    ra, rb = _find(root, a), _find(root, b)
-                    if ra != rb:
-                        root[max(ra, rb)] = min(ra, rb)
-                        links.append((int(todo[a]), int(todo[b])))
-    return links
-
+def _stars(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links from the first fingerprint of each chain of close pairs to the chain's others.
 
-def _find(root: np.ndarray, i: int) -> int:
-    while root[i] != i:
-        root[i] = root[root[i]]
-        i = int(root[i])
-    return i
+    What a chain reaches leaves the set that later comparisons look at, so a dense group
+    costs little more than its size.
+    """
+    links, words, left = [], prints.view(np.uint64), np.arange(len(prints))
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        reached = [np.array([first])]
+        while reached and len(left):
+            ring, reached = np.concatenate(reached), []
+            for i in range(0, len(ring), BLOCK):
+                near = (np.bitwise_count(words[ring[i : i + BLOCK], None] ^ words[None, left]) <= radius).any(axis=0)
+                if near.any():
+                    reached.append(left[near])
+                    left = left[~near]
+                    links += [(int(prints[first]), int(prints[x])) for x in reached[-1]]
+    return links
 
 
 def _meet(radius: int):
-    """Rows (variant, fingerprint) in the order of the variant to verified links."""
+    """Rows (variant, fingerprint) in the order of the variant to links, each backed by a chain of verified pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_v, held_p = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -123,7 +120,7 @@ def _meet(radius: int):
             two = starts[sizes == 2]
             close = two[np.bitwise_count(p[two].view(np.uint64) ^ p[two + 1].view(np.uint64)) <= radius]
             for s, e in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
-                found += _forest(p[s:e], radius)
+                found += _stars(p[s:e], radius)
             a = np.concatenate([p[close], np.array([x for x, _ in found], np.int64)])
             b = np.concatenate([p[close + 1], np.array([y for _, y in found], np.int64)])
             return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -146,7 +143,8 @@ def _meet(radius: int):
 def close_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints in the only column of ``prints``.
 
-    Every link is verified, and every pair within the radius is connected through links.
+    Every link stands for a chain of verified pairs, and every pair within the radius is
+    connected through links.
     """
     if radius < 1:
         return prints.sparkSession.createDataFrame([], "a long, b long")

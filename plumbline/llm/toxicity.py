@@ -110,7 +110,7 @@ class Model:
         return score
 
 
-def fit(ids: np.ndarray, sentence_at: np.ndarray, bag_at: np.ndarray, labels: np.ndarray, min_docs: int = 4, steps: int = 400, rate: float = 0.1, l1: float = 2e-4) -> Model:
+def fit(ids: np.ndarray, sentence_at: np.ndarray, bag_at: np.ndarray, labels: np.ndarray, min_docs: int = 4, steps: int = 400, rate: float = 0.1, l1: float = 0.05) -> Model:
     """The model of bags: feature ids, where each sentence starts in them, and where each bag starts in the sentences."""
     if not len(labels) or labels.min() == labels.max():
         return Model({}, 0.0)
