@@ -78,7 +78,7 @@ def variants(print_: Column, radius: int) -> Column:
         # the bits left out hold the block's number, so that blocks do not meet each other
         keep, tag = sum(1 << i for i in left), (b << block[0] if block else 0)
         kept = print_.bitwiseAND(F.lit(_signed(keep))).bitwiseXOR(F.lit(_signed(tag)))
-        out.append(F.transform(F.lit([_signed(x) for x in flips]), lambda x, kept=kept: kept.bitwiseXOR(x)))
+        out.append(F.transform(F.lit([_signed(x) for x in flips]), kept.bitwiseXOR))
     return F.concat(*out)
 
 
