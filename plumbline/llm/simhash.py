@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def assign(rows: DataFrame, radius: int) -> DataFrame:
     """``rows`` (k, p, more) with the smallest ``k`` of their component as ``c``, its smallest fingerprint as ``g``."""
-    first = rows.groupBy("p").agg(F.min("k").alias("first"))
+    first = cut(rows.groupBy("p").agg(F.min("k").alias("first")))
     linked = components(close_links(first.select("p"), radius))
     linked = cut(linked.join(first, linked["node"] == first["p"]).select("p", "root", "first"))
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
@@ -196,7 +196,8 @@ def assign(rows: DataFrame, radius: int) -> DataFrame:
     named = first.join(linked, "p", "left").select(
         "p", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("c"), F.coalesce("root", "p").alias("g")
     )
-    return rows.join(named, "p")
+    # written before the join, so that a fingerprint of many rows can be split there
+    return rows.join(cut(named), "p")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:

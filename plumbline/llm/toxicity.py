@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A document is a bag of sentences.  A sentence's score is logistic in the features of its
-words, and the document's is the noisy-or of its sentences: the chance that at least one
+words, 0 if below ``FLOOR``, and the document's is the noisy-or of its sentences: the chance that at least one
 is toxic.  Training needs labels of documents only; afterwards the sentence scores say
 where the offence is.
 
@@ -37,6 +37,9 @@ MAX_DOCS = 2000
 SENTENCE_WORDS = 48
 PREFIXES = (4, 5)
 THRESHOLD = 0.7
+#: A sentence less likely than this counts as 0: else length alone would accuse a long text.
+FLOOR = 0.05
+_LEAST = float(np.log(FLOOR / (1 - FLOOR)))
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -67,7 +70,6 @@ class Model:
     def scorer(self):
         """A function from texts to (document score, [(start, end, sentence score) of sentences above one half])."""
         cache: dict[str, float] = {}
-        quiet = float(np.log1p(np.exp(self.bias)))  # -log(1 - p) of a sentence without weighty words
 
         def weight(word: str) -> float:
             if len(cache) > 500_000:
@@ -89,11 +91,11 @@ class Model:
                             v = weight(w)
                         if v:
                             z, heavy = z + v, True
-                    if not heavy:
-                        total += quiet
+                    z += self.bias
+                    if not heavy or z < _LEAST:
                         continue
-                    total += float(np.logaddexp(0.0, z + self.bias))
-                    if z + self.bias > 0:
+                    total += float(np.logaddexp(0.0, z))
+                    if z > 0:
                         places.append((m.start(), i))
             if not places:
                 return -float(np.expm1(-total)), []
