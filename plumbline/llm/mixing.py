@@ -20,6 +20,7 @@ Repeated rows count each.  Sources without words, and an empty table, get nothin
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +30,6 @@ from plumbline.llm.common import WORD, col, cut, hidden
 
 MAX_NODES = 200_000
 EPOCHS = 3
-#: Rows of one chunk of the seeded order, about.
-CHUNK_ROWS = 50_000
 
 
 def targets(sizes: dict, weights: dict, cap: float = EPOCHS, total: float | None = None) -> dict:
@@ -128,7 +127,7 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights, size: Column, sources: Column, seed: int = 42, epochs: int = EPOCHS, max_nodes: int = MAX_NODES, chunk_rows: int = CHUNK_ROWS, key: list[Column] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights, size: Column, sources: Column, seed: int = 42, epochs: int = EPOCHS, max_nodes: int = MAX_NODES, chunks: int | None = None, key: list[Column] | None = None) -> DataFrame:
     """``docs`` with ``size``, ``sources``, ``source_sizes``, ``targets`` and ``taken``.
 
     ``sources`` is an array column, the row's memberships; ``source_sizes`` and ``targets``
@@ -156,7 +155,8 @@ def mix(docs: DataFrame, weights, size: Column, sources: Column, seed: int = 42,
     sent: dict = defaultdict(int)
     for (p, _), words in route(patterns, {x: round(t) for x, t in wanted.items()}, epochs).items():
         sent[p] += words
-    chunks = max(16, -(-sum(r["n"] for r in sums) // chunk_rows))
+    # as many chunks as a chunk has rows: neither grows faster than the root of the rows
+    chunks = chunks or max(1, math.isqrt(sum(r["n"] for r in sums)))
     spark = docs.sparkSession
     kind = f"array<{docs.select(sources.alias('x')).schema['x'].dataType.elementType.simpleString()}>"
     known = spark.createDataFrame(

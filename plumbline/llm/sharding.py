@@ -17,6 +17,7 @@ fills a shard of its own.  An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,6 @@ from plumbline.llm.common import col, cut, hidden
 
 #: Items that one task differences.
 FAN_IN = 20_000
-#: Rows whose slots are numbered by one task.
-SLOT_ROWS = 500_000
 
 
 def difference(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +100,7 @@ def assign_groups(groups: DataFrame, shards: int, fan_in: int = FAN_IN) -> DataF
     return placed.select("id", F.element_at("goes", 1).cast("int").alias("shard"))
 
 
-def shard_rows(docs: DataFrame, shards: int, size: Column, group: Column, order: list[Column], fan_in: int = FAN_IN, slot_rows: int = SLOT_ROWS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int, size: Column, group: Column, order: list[Column], fan_in: int = FAN_IN) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 within the shard).
 
     ``size`` is the long size of a row, ``group`` a string that only rows of one group
@@ -112,8 +111,9 @@ def shard_rows(docs: DataFrame, shards: int, size: Column, group: Column, order:
     groups = rows.groupBy(F.col(g).alias("id")).agg(F.sum(s).alias("size"))
     placed = assign_groups(groups, shards, fan_in).withColumnRenamed("id", g)
     rows = rows.join(placed, g)
-    # slots: rows of a shard are cut by hash into ranges, whose counts give the ranges' offsets
-    chunks = max(1, -(-docs.count() // slot_rows)) * 4
+    # slots: rows of a shard are cut by hash into ranges, whose counts give the ranges' offsets;
+    # about as many ranges as a range has rows
+    chunks = max(1, math.isqrt(docs.count() // shards))
     rows = rows.withColumn(c, F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
     counts = rows.groupBy("shard", c).count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
