@@ -60,12 +60,12 @@ class Cell:
         return s.is_missing(self.raw, "string" if self.is_text else "other")
 
     def number(self, reader: str = "loose") -> Column:
-        """The cell as a double; NULL where it is not one (NaN counts as not a number)."""
+        """The cell as a double; NULL where it is not one (NaN and infinities count as none)."""
         if self.is_text:
             return NUMBER_READERS[reader](self.raw)
         if self.is_number:
             d = self.raw.cast("double")
-            return F.when(~F.isnan(d), d) if isinstance(self.dtype, (T.DoubleType, T.FloatType)) else d
+            return F.when(F.abs(d) < float("inf"), d) if isinstance(self.dtype, (T.DoubleType, T.FloatType)) else d
         return F.lit(None).cast("double")
 
     def time(self) -> Column:
@@ -100,23 +100,81 @@ def cells(df: DataFrame, columns: Iterable[str] | None = None) -> list[Cell]:
     return [Cell(n, i, fields[n]) for i, n in enumerate(names)]
 
 
+def row_hash(df: DataFrame, seed: int = 42) -> Column:
+    """64-bit hash that is equal for rows that group together: 0.0 and -0.0 do, and maps whatever their order."""
+    parts = []
+    for c in cells(df):
+        kind = c.dtype.simpleString()
+        if kind in ("double", "float"):
+            parts.append(c.raw + F.lit(0.0))
+        elif kind.startswith("map<"):
+            parts.append(F.array_sort(F.transform(F.map_entries(c.raw), F.to_json)))
+        elif "map<" in kind or kind == "variant":
+            parts.append(F.to_json(c.raw))
+        else:
+            parts.append(c.raw)
+    return F.xxhash64(F.lit(seed), *parts)
+
+
 def number_cells(df: DataFrame, columns: Iterable[str] | None = None) -> list[Cell]:
     """Named columns, or every natively numeric column."""
     picked = cells(df, columns)
     return picked if columns is not None else [c for c in picked if c.is_number]
 
 
+class _AnyCell:
+    """Stands for all cells at once: what is read from it becomes a column of the unpivoted table."""
+
+    def __init__(self):
+        self.read: dict[str, Callable[[Cell], Column]] = {}
+
+    def _column(self, name: str, of: Callable[[Cell], Column]) -> Column:
+        self.read[name] = of
+        return F.col(name)
+
+    @property
+    def missing(self) -> Column:
+        return self._column("_missing", lambda c: c.missing)
+
+    def number(self, reader: str = "loose") -> Column:
+        return self._column(f"_number_{reader}", lambda c: c.number(reader))
+
+    def millis(self) -> Column:
+        return self._column("_millis", lambda c: c.millis().cast("long"))
+
+    def year(self) -> Column:
+        return self._column("_year", lambda c: c.year().cast("int"))
+
+    def looks_dated(self, month_words: bool = False) -> Column:
+        return self._column(f"_dated_{month_words}", lambda c: c.looks_dated(month_words))
+
+    def text(self) -> Column:
+        return self._column("_text", lambda c: c.text())
+
+
 def wide(
     df: DataFrame, picked: Sequence[Cell], aggregates: Callable[[Cell], Mapping[str, Column]]
 ) -> DataFrame:
-    """One row per column holding the named aggregates, computed in as few scans as codegen allows.
+    """One row per column holding the named aggregates.
 
-    ``aggregates`` must return the same names and types for every column.
+    ``aggregates`` must return the same names and types for every column.  A few columns are
+    aggregated side by side.  More are unpivoted to one row per cell, holding what the
+    aggregates read, and aggregated by column with map-side combination: one scan, whatever
+    their number.  Aggregates that look at a column's own type are computed side by side, in
+    as many scans as code generation needs.
     """
     if not picked:
         raise ValueError("no columns to aggregate")
     per_cell = [(c, dict(aggregates(c))) for c in picked]
     step = max(1, MAX_AGGREGATES // max(1, len(per_cell[0][1])))
+    if len(per_cell) > step:
+        stand_in = _AnyCell()
+        try:
+            keyed = dict(aggregates(stand_in))
+        except AttributeError:  # needs to know the column
+            pass
+        else:
+            return _keyed(df, picked, stand_in, keyed)
     parts = [_wide_part(df, per_cell[i : i + step]) for i in range(0, len(per_cell), step)]
     out = parts[0]
     for p in parts[1:]:
@@ -124,6 +182,20 @@ def wide(
     return out
 
 
+def _keyed(df: DataFrame, picked: Sequence[Cell], stand_in: _AnyCell, aggregates: Mapping[str, Column]) -> DataFrame:
+    """The aggregates by column over one unpivoted scan; columns of an empty table have a row as well."""
+    structs = [
+        F.struct(F.lit(c.ordinal).alias("ordinal"), *[of(c).alias(n) for n, of in stand_in.read.items()]) for c in picked
+    ]
+    cells_ = df.select(F.inline(F.array(*structs)))
+    done = cells_.groupBy("ordinal").agg(*[e.alias(n) for n, e in aggregates.items()])
+    names = local_table(df.sparkSession, [(c.name, c.ordinal) for c in picked], "column string, ordinal int")
+    # without rows an aggregate that is never null, such as a count, is 0
+    zero = {f.name for f in done.schema.fields if not f.nullable}
+    filled = [F.coalesce(F.col(n), F.lit(0)).cast(done.schema[n].dataType).alias(n) if n in zero else F.col(n) for n in aggregates]
+    return names.join(F.broadcast(done), "ordinal", "left").select("column", "ordinal", *filled)  # a row per column
+
+
 def _wide_part(df: DataFrame, per_cell: Sequence[tuple[Cell, Mapping[str, Column]]]) -> DataFrame:
     names = list(per_cell[0][1])
     flat = [e.alias(f"a{i}_{j}") for i, (_, aggs) in enumerate(per_cell) for j, e in enumerate(aggs.values())]

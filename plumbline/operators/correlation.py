@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ from plumbline.operators.columns import Cell, local_table, number_cells
 from plumbline.operators.ordering import average_ranks, bucket_edges
 
 MIN_PAIRS = 3
-PAIRS_PER_SCAN = 4
-PRODUCTS_PER_SCAN = 36
 
 
 def column_pairs(profile: DataFrame) -> DataFrame:
@@ -24,110 +24,57 @@ def column_pairs(profile: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), F.col("ord_x") < F.col("ord_y"))  # one row per column on both sides
 
 
-def _coefficient(x: Column, y: Column, zero_variance: str) -> tuple[Column, Column]:
-    """Count of complete pairs and their correlation; every moment sees complete pairs only."""
-    both = x.isNotNull() & y.isNotNull()
-    cx, cy = F.when(both, x), F.when(both, y)
-    spread = F.stddev_pop(cx) * F.stddev_pop(cy)
-    r = F.try_divide(F.covar_pop(cx, cy), spread)
-    if zero_variance == "zero":
-        r = F.when(spread == 0, F.lit(0.0)).otherwise(r)
-    n = F.count(cx)
-    return n, F.when(n >= MIN_PAIRS, r)
-
-
-def _pairs_wide(
-    df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]], zero_variance: str
-) -> DataFrame:
-    """Long ``(column_x, column_y, pairs, correlation)`` of the given pairs, a few per scan.
-
-    Each scan reads only the columns of its pairs.
-    """
-    parts = []
-    for i in range(0, len(pairs), PAIRS_PER_SCAN):
-        chunk = pairs[i : i + PAIRS_PER_SCAN]
-        names = list(dict.fromkeys(n for p in chunk for n in p))
-        at = {n: f"x{j}" for j, n in enumerate(names)}
-        aggs, rows = [], []
-        for j, (a, b) in enumerate(chunk):
-            n, r = _coefficient(F.col(at[a]), F.col(at[b]), zero_variance)
-            aggs += [n.alias(f"n{j}"), r.alias(f"r{j}")]
-            rows.append(
-                F.struct(
-                    F.lit(a).alias("column_x"),
-                    F.lit(b).alias("column_y"),
-                    F.col(f"n{j}").alias("pairs"),
-                    F.col(f"r{j}").alias("correlation"),
-                )
-            )
-        source = df.select(*[values[n].alias(at[n]) for n in names])
-        parts.append(source.agg(*aggs).select(F.inline(F.array(*rows))))
-    return reduce(DataFrame.unionAll, parts)
-
-
 PAIR_SCHEMA = "column_x string, column_y string, pairs bigint, correlation double"
+# A share of its square sum below which a spread is rounding: the column is constant over the pair.
+ROUNDING = 1e-12
 
 
 def _all_pairs(df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]], zero_variance: str) -> DataFrame:
-    """Coefficients of the given pairs.
+    """Coefficients of the given pairs over their complete rows, in two scans whatever their number.
 
-    Columns without missing cells share their means and variances over all pairs, which
-    leaves one sum of products per pair; the others see their complete pairs only.
+    The first scan finds a mean per column.  The second takes matrix products of each batch,
+    centred on the means and masked where a cell is missing, which gives the sums of all
+    pairs at once; every task sends one row per pair.
     """
     if not pairs:
         return local_table(df.sparkSession, [], PAIR_SCHEMA)
     names = list(dict.fromkeys(n for p in pairs for n in p))
-    facts = _column_facts(df, values, names)
-    rows = facts[names[0]]["rows"]
-    complete = {n for n in names if facts[n]["n"] == rows and rows >= MIN_PAIRS}
-    shared = [p for p in pairs if p[0] in complete and p[1] in complete]
-    gappy = [p for p in pairs if p not in set(shared)]
-    parts = []
-    if shared:
-        parts.append(_pairs_complete(df, values, shared, facts, zero_variance))
-    if gappy:
-        parts.append(_pairs_wide(df, values, gappy, zero_variance))
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _column_facts(df: DataFrame, values: dict[str, Column], names: Sequence[str]) -> dict[str, dict]:
-    """Rows, values, mean, and whether it is constant, of each column."""
-    at = {n: f"x{i}" for i, n in enumerate(names)}
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for x in at.values():
-        aggs += [F.count(x).alias(f"n_{x}"), F.avg(x).alias(f"m_{x}"), (F.min(x) == F.max(x)).alias(f"c_{x}")]
-    row = df.select(*[values[n].alias(x) for n, x in at.items()]).agg(*aggs).first()
-    return {
-        n: {"rows": row["rows"], "n": row[f"n_{x}"], "mean": row[f"m_{x}"], "constant": bool(row[f"c_{x}"])}
-        for n, x in at.items()
-    }
-
-
-def _pairs_complete(df, values, pairs, facts, zero_variance) -> DataFrame:
-    """Sums of products around the known means, a few dozen per scan."""
-    rows = next(iter(facts.values()))["rows"]
-    parts = []
-    for i in range(0, len(pairs), PRODUCTS_PER_SCAN):
-        chunk = pairs[i : i + PRODUCTS_PER_SCAN]
-        at = {n: f"d{j}" for j, n in enumerate(dict.fromkeys(n for p in chunk for n in p))}
-        source = df.select(*[(values[n] - F.lit(facts[n]["mean"])).alias(d) for n, d in at.items()])
-        aggs = [F.sum(F.col(d) * F.col(d)).alias(f"s_{d}") for d in at.values()]
-        aggs += [F.sum(F.col(at[a]) * F.col(at[b])).alias(f"p{j}") for j, (a, b) in enumerate(chunk)]
-        structs = []
-        for j, (a, b) in enumerate(chunk):
-            flat = facts[a]["constant"] or facts[b]["constant"]
-            spread = F.sqrt(F.col(f"s_{at[a]}")) * F.sqrt(F.col(f"s_{at[b]}"))
-            constant = F.lit(0.0 if zero_variance == "zero" else None).cast("double")
-            structs.append(
-                F.struct(
-                    F.lit(a).alias("column_x"),
-                    F.lit(b).alias("column_y"),
-                    F.lit(rows).cast("bigint").alias("pairs"),
-                    (constant if flat else F.try_divide(F.col(f"p{j}"), spread)).alias("correlation"),
-                )
-            )
-        parts.append(source.agg(*aggs).select(F.inline(F.array(*structs))))
-    return reduce(DataFrame.unionAll, parts)
+    source = df.select(*[values[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    finite = [F.when(F.abs(f"x{i}") < float("inf"), F.col(f"x{i}")) for i in range(len(names))]
+    facts = source.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(finite)]).first()
+    means = np.array([facts[i] or 0.0 for i in range(len(names))])
+    at = {n: i for i, n in enumerate(names)}
+    index = np.array([(at[a], at[b]) for a, b in pairs])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(means)
+        n, s, q, p = (np.zeros((k, k)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - means
+            held = ~np.isnan(x)
+            d, m = np.where(held, x, 0.0), held.astype(float)
+            n += m.T @ m
+            s += d.T @ m
+            q += (d * d).T @ m
+            p += d.T @ d
+        i, j = index[:, 0], index[:, 1]
+        out = {"pair": np.arange(len(index)), "n": n[i, j], "sx": s[i, j], "sy": s[j, i], "qx": q[i, j], "qy": q[j, i], "p": p[i, j]}
+        yield pa.RecordBatch.from_pydict(out)
+
+    fields = ["n", "sx", "sy", "qx", "qy", "p"]
+    parts = source.mapInArrow(sums, "pair long, " + ", ".join(f"{f} double" for f in fields))
+    total = parts.groupBy("pair").agg(*[F.sum(f).alias(f) for f in fields])
+    vx, vy = (F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n") for c in "xy")
+    flat = (vx <= F.col("qx") * ROUNDING) | (vy <= F.col("qy") * ROUNDING)
+    r = (F.col("p") - F.col("sx") * F.col("sy") / F.col("n")) / (F.sqrt(vx) * F.sqrt(vy))
+    constant = F.lit(0.0 if zero_variance == "zero" else None).cast("double")
+    labels = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair long, column_x string, column_y string")
+    return labels.join(F.broadcast(total), "pair", "left").select(  # a row per pair on both sides
+        "column_x",
+        "column_y",
+        F.coalesce(F.col("n").cast("long"), F.lit(0)).alias("pairs"),
+        F.when(F.col("n") >= MIN_PAIRS, F.when(flat, constant).otherwise(r)).alias("correlation"),
+    )
 
 
 def pearson(df: DataFrame, x: str, y: str, zero_variance: str = "null") -> DataFrame:
@@ -146,7 +93,11 @@ def pearson_pairs(df: DataFrame, columns: Iterable[str] | None = None, zero_vari
 def spearman_pairs(
     df: DataFrame, columns: Iterable[str] | None = None, zero_variance: str = "null"
 ) -> DataFrame:
-    """Rank correlation of every unordered pair, ranks taken over the complete pairs."""
+    """Rank correlation of every unordered pair, ranks taken over the complete pairs.
+
+    Columns without missing cells are ranked once for all their pairs; a pair with missing
+    cells has ranks of its own, over the rows that it leaves.
+    """
     picked = number_cells(df, columns)
     filled = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c.number()).alias(f"n{c.ordinal}") for c in picked]).first()
     complete = [c for c in picked if filled[f"n{c.ordinal}"] == filled["rows"]]
@@ -157,12 +108,12 @@ def spearman_pairs(
         ranked = _ranked(df.select(*[c.number().alias(f"x{c.ordinal}") for c in complete]), complete)
         values = {c.name: F.col(f"r{c.ordinal}") for c in complete}
         pairs = list(combinations([c.name for c in complete], 2))
-        parts.append(_pairs_wide(ranked, values, pairs, zero_variance))
+        parts.append(_all_pairs(ranked, values, pairs, zero_variance))
     for a, b in gappy_pairs:
         both = df.select(a.number().alias(f"x{a.ordinal}"), b.number().alias(f"x{b.ordinal}")).dropna()
         ranked = _ranked(both, [a, b])
         values = {c.name: F.col(f"r{c.ordinal}") for c in (a, b)}
-        parts.append(_pairs_wide(ranked, values, [(a.name, b.name)], zero_variance))
+        parts.append(_all_pairs(ranked, values, [(a.name, b.name)], zero_variance))
     if not parts:
         return local_table(df.sparkSession, [], PAIR_SCHEMA)
     return reduce(DataFrame.unionAll, parts)
@@ -175,8 +126,8 @@ def spearman(df: DataFrame, x: str, y: str, zero_variance: str = "null") -> Data
 def _ranked(rows: DataFrame, picked: Sequence[Cell]) -> DataFrame:
     """``rows`` with the average rank of each column as ``r<i>``.
 
-    Equal rows are counted together first.  The rank table has one row per distinct value:
-    a hot value meets one build row, and the adaptive skew join splits its probe side.
+    One join per column.  The rank table has one row per distinct value: a hot value meets
+    one build row, and the adaptive skew join splits its probe side.
     """
     names = [f"x{c.ordinal}" for c in picked]
     edges = bucket_edges(rows, {n: F.col(n) for n in names})

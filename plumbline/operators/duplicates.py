@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-HASH = "_row_hash"
 
+from plumbline.operators.columns import cells, row_hash
 
-def _row_hash(df: DataFrame) -> Column:
-    """Hash equal for rows that group together (0.0 and -0.0 do)."""
-    parts = [
-        F.col(f"`{f.name}`") + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ]
-    return F.xxhash64(*parts)
+HASH = "_row_hash"
+# A hash held by one row in so many is hot; there are at most so many hot hashes.
+HOT_SHARE = 10_000
+# Repeats of a row that are listed in one array.
+PIECE = 100_000
 
 
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Distinct rows occurring more than once, with their number of occurrences as ``copies``.
 
-    A first pass counts 64-bit row hashes, so only 16 bytes per row are shuffled; rows whose
-    hash repeats are then compared on their values.  Copies are counted map-side, so a row
-    repeated in a third of the table stays one record per task.
+    A first pass counts 64-bit row hashes map-side, so 16 bytes per distinct row and task are
+    shuffled; rows whose hash repeats are then compared on their values.  Hot hashes, at most
+    ``HOT_SHARE`` of them, are broadcast: their rows are counted in every task before any
+    shuffle, so a row repeated in a third of the table stays one record per task.  The other
+    repeated rows meet their hashes in a join without a hot key.
     """
-    hashed = df.withColumn(HASH, _row_hash(df))
-    repeated = (
-        hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(HASH)
-    )
-    return (
-        hashed.join(repeated, HASH, "left_semi")
-        .groupBy(*[F.col(f"`{c}`") for c in df.columns])
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .where(F.col("copies") > 1)
-    )
+    hashed = df.withColumn(HASH, row_hash(df))
+    counted = hashed.groupBy(HASH).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).scalar()
+    hot = F.col("n") * HOT_SHARE >= total
+    names = [c.raw for c in cells(df)]
+    often = hashed.join(F.broadcast(counted.where((F.col("n") > 1) & hot).select(HASH)), HASH, "left_semi")
+    seldom = hashed.join(counted.where((F.col("n") > 1) & ~hot).select(HASH), HASH, "left_semi")
+    parts = [rows.groupBy(*names).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1) for rows in (often, seldom)]
+    return parts[0].unionAll(parts[1])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Every repeat of a row after its first occurrence."""
-    extra = F.explode(F.sequence(F.lit(2), F.col("copies").cast("int"))).alias("occurrence")
-    return duplicate_groups(df).select(*[F.col(f"`{c}`") for c in df.columns], extra)
+    """Every repeat of a row after its first occurrence, listed in pieces of bounded size."""
+    names = [c.raw for c in cells(df)]
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 2) / PIECE))).alias("_piece")
+    first = F.col("_piece") * PIECE + 2
+    inside = F.sequence(first, F.least(first + PIECE - 1, F.col("copies")))
+    return duplicate_groups(df).select(*names, "copies", pieces).select(*names, F.explode(inside).alias("occurrence"))
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

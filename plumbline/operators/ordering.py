@@ -316,8 +316,10 @@ def with_previous(distinct: DataFrame, value: str, edges: Sequence[float]) -> Da
     )
 
 
-def with_position(rows: DataFrame, value: str, tie: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds ``position`` (1-based by ``value`` then ``tie``, both numeric) and ``total``.
+def with_position(
+    rows: DataFrame, value: str, tie: str, bucket_rows: int = BUCKET_ROWS, then: Sequence[str] = ()
+) -> DataFrame:
+    """Adds ``position`` (1-based by ``value``, ``tie``, both numeric, and ``then``) and ``total``.
 
     A value that sits on a cut point gets a bucket of its own, and such a bucket is cut
     again by ``tie``; a value shared by a third of all rows therefore spreads as well.
@@ -352,7 +354,7 @@ def with_position(rows: DataFrame, value: str, tie: str, bucket_rows: int = BUCK
         "total",
         (F.col("_start") + F.coalesce(F.sum("_size").over(before), F.lit(0))).alias("_offset"),
     )
-    inside = Window.partitionBy("_bucket", "_part").orderBy(value, tie)
+    inside = Window.partitionBy("_bucket", "_part").orderBy(value, tie, *then)
     return (
         placed.withColumn("_local", F.row_number().over(inside))
         .join(offsets, ["_bucket", "_part"])

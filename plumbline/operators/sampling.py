@@ -1,55 +1,57 @@
 """Exact-size samples that are the same on every run and every partitioning.
 
-Rows are ordered by a seeded hash of their key and the smallest are taken, so each task
-keeps only its own best ``k`` rows.
+Rows are ordered by a seeded hash of their key and the smallest are taken.  The hashes are
+counted by their first digits; the counts say at which digits the sample ends, and only the
+rows with just those digits are put in order.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.columns import cells
 from plumbline.operators.frequency import cardinality
 
-SALTS = 64
-
 
 def _hash(df: DataFrame, key: Sequence[str] | None, seed: int | str) -> Column:
-    names = list(key) if key else df.columns
-    parts = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
+    parts = [F.coalesce(c.text(), F.lit("")) for c in cells(df, key or None)]
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def _cutoff(wanted: Column, size: Column) -> Column:
-    """Hash text below which slightly more than ``wanted`` of ``size`` rows are expected."""
-    share = (wanted + F.sqrt(wanted) * 10 + 30) / size
-    prefix = F.lower(F.lpad(F.hex(F.floor(share * F.lit(4294967296.0)).cast("bigint")), 8, "0"))
-    return F.when(share >= 1, F.lit("g")).otherwise(prefix)
+def _ties(df: DataFrame, key: Sequence[str] | None) -> list[Column]:
+    return [c.raw for c in cells(df, key or None) if c.dtype.typeName() not in ("map", "variant")]
 
 
-def random_sample(
-    df: DataFrame, k: int, key: Sequence[str] | None = None, seed: int | str = 0
-) -> DataFrame:
-    """Exactly ``min(k, n)`` rows, without replacement.  ``key`` should identify a row.
+def _head(n: int) -> Column:
+    """So many first digits of the hash that there are about as many heads as rows of one head."""
+    return F.substring("_h", 1, max(1, min(8, math.ceil(math.log(max(n, 2), 16) / 2))))
 
-    Rows whose hash is too large to be among the first ``k`` are dropped while scanning, once
-    a count has shown that enough are left; what is sorted then has about ``k`` rows in all.
-    """
-    total = df.count()
-    if total <= k:
-        return df
-    names = list(key) if key else df.columns
-    hashed = df.withColumn("_h", _hash(df, key, seed))
-    near = hashed.where(F.col("_h") < _cutoff(F.lit(float(k)), F.lit(float(total))))
-    if near.count() < k:  # copies of a row share a hash, so few hashes may hold many rows
-        near = hashed
-    return near.orderBy("_h", *[F.col(f"`{n}`") for n in names if _sortable(df, n)]).limit(k).drop("_h")
+
+def _smallest(hashed: DataFrame, k: int, ties: Sequence[Column]) -> DataFrame:
+    """The ``k`` rows of the smallest ``_h``."""
+    n = hashed.count()
+    if n <= k:
+        return hashed
+    head = _head(n)
+    sizes = hashed.groupBy(head.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # a row per head, at most about the root of the rows
+    run = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n"))
+    end = run.where((F.col("_before") < k) & (F.col("_before") + F.col("_n") >= k)).first()
+    if end is None:  # k is 0
+        return hashed.limit(0)
+    last = hashed.where(head == end["_p"]).orderBy("_h", *ties).limit(k - end["_before"])
+    return hashed.where(head < end["_p"]).unionByName(last)
 
 
-def _sortable(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() not in ("map", "variant")
+def random_sample(
+    df: DataFrame, k: int, key: Sequence[str] | None = None, seed: int | str = 0
+) -> DataFrame:
+    """Exactly ``min(k, n)`` rows, without replacement.  ``key`` should identify a row."""
+    return _smallest(df.withColumn("_h", _hash(df, key, seed)), k, _ties(df, key)).drop("_h")
 
 
 def reservoir_sample(df: DataFrame, k: int, key: Sequence[str] | None = None, seed: int | str = 0) -> DataFrame:
@@ -63,40 +65,30 @@ def stratified_sample(
     """Per stratum ``max(1, round(k * share))`` rows, then cut to ``k`` by a hash of its own,
     so that the final cut falls on all strata alike.
 
-    Rows that cannot be among their stratum's smallest hashes are dropped while scanning, once
-    a count has shown that every stratum keeps enough; a first cut within ``(stratum, salt)``
-    bounds what one task orders even where they are not.
+    Within a stratum the hashes are counted by their first digits, as for the whole, and only
+    the rows where its quota ends are ordered, so a stratum of any size is many tasks' work.
     """
     total = df.count()
     if total <= k:
         return df
-    names = list(key) if key else df.columns
-    label = F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit(""))
+    label = F.coalesce(cells(df, [stratum])[0].text(), F.lit(""))
+    ties, head = _ties(df, key), _head(total)
     hashed = df.withColumn("_h", _hash(df, key, seed)).withColumn("_s", label)
-    ties = [F.col(f"`{n}`") for n in names if _sortable(df, n)]
-    quotas = df.groupBy(label.alias("_s")).agg(F.count(F.lit(1)).alias("_n")).select(
-        "_s",
-        "_n",
-        F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(k)) / F.lit(float(total)) + 0.5)).alias("_quota"),
-    )
-    rows = hashed.join(quotas, "_s")
-    near = rows.where(F.col("_h") < _cutoff(F.col("_quota").cast("double"), F.col("_n").cast("double")))
-    left = near.groupBy("_s").agg(F.count(F.lit(1)).alias("_left"))
-    short = quotas.join(left, "_s", "left").where(F.coalesce("_left", F.lit(0)) < F.col("_quota"))
-    if not short.isEmpty():
-        near = rows
-    salt = F.pmod(F.xxhash64("_h"), F.lit(SALTS))
-    first = Window.partitionBy("_s", "_salt").orderBy("_h", *ties)
-    second = Window.partitionBy("_s").orderBy("_h", *ties)
-    kept = (
-        near.withColumn("_salt", salt)
-        .withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= F.col("_quota"))
-        .withColumn("_r", F.row_number().over(second))
-        .where(F.col("_r") <= F.col("_quota"))
+    sizes = hashed.groupBy("_s", head.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.sum("_n").over(Window.partitionBy("_s"))
+    quota = F.greatest(F.lit(1), F.floor(size * F.lit(float(k)) / F.lit(float(total)) + 0.5))
+    run = F.sum("_n").over(Window.partitionBy("_s").orderBy("_p")) - F.col("_n")
+    ends = (
+        sizes.select("_s", "_p", "_n", quota.alias("_quota"), run.alias("_before"))
+        .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota")))
+        .select("_s", F.col("_p").alias("_end"), (F.col("_quota") - F.col("_before")).alias("_left"))
     )
+    rows = hashed.join(ends, "_s")
+    first = F.row_number().over(Window.partitionBy("_s").orderBy("_h", *ties))
+    last = rows.where(head == F.col("_end")).withColumn("_r", first).where(F.col("_r") <= F.col("_left")).drop("_r")
+    kept = rows.where(head < F.col("_end")).unionByName(last)
     trim = F.md5(F.concat("_h", F.lit("trim")))
-    return kept.orderBy(trim, *ties).limit(k).drop("_h", "_s", "_r", "_quota", "_n", "_salt")
+    return _smallest(kept.withColumn("_h", trim), k, ties).drop("_h", "_s", "_end", "_left")
 
 
 def adaptive_sample(

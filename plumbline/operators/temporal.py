@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import integer_prefix, iso_text
-from plumbline.operators.columns import Cell, cells, local_table, wide
+from plumbline.operators.columns import Cell, cells, local_table, row_hash, wide
 from plumbline.operators.ordering import (
     Target,
     bucket_edges,
@@ -181,25 +181,28 @@ def downsample(df: DataFrame, column: str, max_points: int = 1000, tie: str | No
     """Every ``floor(n / max_points)``-th row in time order plus the last one.
 
     Rows without a readable time are not part of the series.  ``tie`` (a numeric column)
-    orders rows that share a moment and should be unique among them; by default a hash of the
-    row does.
+    orders rows that share a moment; rows that share both are ordered by two hashes of the
+    whole row, so that only rows equal throughout are interchangeable.
     """
     cell = cells(df, [column])[0]
-    tied = F.col(f"`{tie}`") if tie else F.xxhash64(*[F.col(f"`{n}`") for n in df.columns])
-    rows = df.select("*", cell.millis().alias("_ms"), tied.alias("_tie")).where(F.col("_ms").isNotNull())
-    # positions need the two sort keys alone; whole rows are fetched for the picked keys only
-    placed = with_position(rows.select("_ms", "_tie"), "_ms", "_tie")
+    keys = ["_ms", "_tie", "_h1", "_h2"]
+    hashes = [row_hash(df, seed).alias(k) for seed, k in ((1, "_h1"), (2, "_h2"))]
+    tied = cells(df, [tie])[0].raw if tie else row_hash(df)
+    rows = df.select("*", cell.millis().alias("_ms"), tied.alias("_tie"), *hashes).where(F.col("_ms").isNotNull())
+    # positions need the sort keys alone; whole rows are fetched for the picked keys only
+    placed = with_position(rows.select(*keys), "_ms", "_tie", then=("_h1", "_h2"))
     step = F.greatest(F.lit(1), F.floor(F.col("total") / F.lit(max_points)))
     wanted = (
         (F.col("total") <= max_points)
         | ((F.col("position") - 1) % step == 0)
         | (F.col("position") == F.col("total"))
     )
-    picks = placed.where(wanted).groupBy("_ms", "_tie").agg(F.count(F.lit(1)).cast("int").alias("_copies"))
-    # at most two picks per point
-    found = rows.join(F.broadcast(picks), ["_ms", "_tie"]).dropDuplicates(["_ms", "_tie"])
+    picks = placed.where(wanted).groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    # a null tie is a key like any other
+    same = [rows[k].eqNullSafe(picks[k]) for k in keys]
+    found = rows.join(picks, same).select(rows["*"], "_copies").dropDuplicates(keys)
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[F.col(f"`{n}`") for n in df.columns]
+        *[c.raw for c in cells(df)]
     )
 
 
@@ -207,4 +210,4 @@ def time_series(df: DataFrame, column: str, max_points: int = 1000, tie: str | N
     """``downsample`` in time order; with ``max_points`` rows the sort is small."""
     cell = cells(df, [column])[0]
     picked = downsample(df, column, max_points, tie)
-    return picked.orderBy(cell.millis(), *([F.col(tie)] if tie else []))
+    return picked.orderBy(cell.millis(), *([cells(df, [tie])[0].raw] if tie else []))

@@ -113,7 +113,7 @@ def line(
     df: DataFrame, time: str, values: Sequence[str], max_points: int = LINE_POINTS, tie: str | None = None
 ) -> DataFrame:
     names = list(dict.fromkeys([time, *values, *([tie] if tie else [])]))
-    return time_series(df.select(*[F.col(f"`{n}`") for n in names]), time, max_points, tie)
+    return time_series(df.select(*[c.raw for c in cells(df, names)]), time, max_points, tie)
 
 
 def scatter(
@@ -132,7 +132,7 @@ def bubble(
 
 def table(df: DataFrame, columns: Sequence[str] | None = None, rows: int = TABLE_ROWS) -> DataFrame:
     cells(df, columns)
-    return df.select(*[F.col(f"`{c}`") for c in (columns or df.columns)]).limit(rows)
+    return df.select(*[c.raw for c in cells(df, columns or None)]).limit(rows)
 
 
 def chart_data(df: DataFrame, kind: str, **config) -> DataFrame:
