@@ -16,7 +16,6 @@ from plumbline import operators as ops
 from plumbline import plans
 from plumbline.functions import scalars as s
 from plumbline.operators import columns as shape
-from plumbline.operators import rules
 from plumbline.plans import charts
 from plumbline.sources import table_catalog
 from plumbline.streaming import map_batches, run_profile
@@ -111,6 +110,45 @@ SHAPES = {
 }
 SHAPES_SQL = derived_sql("orders", SHAPES)
 
+# -- values that the SQL states for itself -------------------------------------------
+
+# (share in per cent above which it applies, severity, score deduction)
+SQL_LADDERS = {
+    "missing": ((50.0, "critical", 10), (20.0, "major", 5), (5.0, "minor", 2)),
+    "incomplete": ((20.0, "critical", 10), (5.0, "major", 5), (0.0, "minor", 2)),
+    "duplicate": ((10.0, "critical", 10), (2.0, "major", 5), (0.0, "minor", 2)),
+    "outlier": ((10.0, "major", 5), (2.0, "minor", 2)),
+    "health": ((10.0, "major", 5), (0.0, "minor", 2)),
+    "any_major": ((0.0, "major", 5),),
+    "any_minor": ((0.0, "minor", 2),),
+}
+SQL_RANGES = {
+    "Cholesterol": (2.0, 12.0),
+    "Blood_Pressure_Systolic": (70.0, 250.0),
+    "Heart_Rate": (30.0, 220.0),
+    "Weight_kg": (15.0, 300.0),
+    "BMI": (12.0, 60.0),
+    "Age": (0.0, 120.0),
+}
+SQL_STATES = (
+    "nsw", "vic", "qld", "sa", "wa", "tas", "nt", "act", "new south wales", "victoria", "queensland",
+    "south australia", "western australia", "tasmania", "northern territory", "australian capital territory",
+)
+# (category, trigger type or None for any, kind, recommendation, priority)
+SQL_ADVICE = (
+    ("Completeness", None, "issue", "missing_data_handling", "high"),
+    ("Consistency", "mixed_types", "issue", "data_type_standardisation", "high"),
+    ("Consistency", "duplicate_rows", "issue", "duplicate_removal", "high"),
+    ("Accuracy", "outliers", "issue", "outlier_treatment", "medium"),
+    ("Accuracy", "extreme_outliers", "issue", "outlier_treatment", "medium"),
+    ("Accuracy", "unrealistic_values", "issue", "validate_range_consistency", "high"),
+    ("Validity", "invalid_format", "issue", "data_validation", "medium"),
+    ("Validity", "invalid_health_measurement", "issue", "clinical_range_validation", "high"),
+    ("Timeliness", "outdated_data", "issue", "acquire_recent_data", "high"),
+    ("Australian Context", "suspicious_unit", "issue", "standardise_australian_units", "high"),
+    ("Australian Context", "incomplete_state_coverage", "warning", "improve_geographical_representation", "medium"),
+)
+
 # -- SQL building blocks -------------------------------------------------------------
 
 
@@ -277,6 +315,57 @@ def _summaries() -> None:
         "select \"column\", count(*) as \"count\", avg(d*d*d) / power(avg(d*d), 1.5) as sk, avg(d*d*d*d) / (avg(d*d) * avg(d*d)) - 3 as ku "
         f"from {centered('lineitem', LINE_NUMBERS)} group by \"column\")",
     )
+    numeric_sql = (
+        "select \"column\", count(*) as \"count\", (select count(*) from lineitem) as \"rows\", "
+        f"{r('avg(v)', 4)} as mean, {r('stddev_pop(v)', 4)} as standard_deviation, min(v) as \"min\", max(v) as \"max\", 0.0::double as missing_pct "
+        f"from {cells_sql('lineitem', LINE_NUMBERS)} group by \"column\""
+    )
+    register(
+        "numeric_metadata",
+        lambda sp, d: rounded(
+            plans.numeric_profile(table(sp, d, "lineitem")).select("column", "count", "rows", "mean", "standard_deviation", "min", "max", "missing_pct"), 4
+        ),
+        numeric_sql,
+    )
+    kinds = {"l_quantity": "numeric", "l_tax": "numeric", "l_returnflag": "categorical", "l_shipdate": "temporal"}
+
+    def stats_rows(sp, d):
+        got = plans.dataset_stats(table(sp, d, "lineitem").select(*kinds), kinds)
+        return rounded(
+            got["moments"].select(F.lit("moments").alias("part"), "column", F.col("mean").alias("value"))
+            .unionAll(got["quartiles"].select(F.lit("quartiles"), "column", F.col("median").cast("double")))
+            .unionAll(got["histograms"].groupBy("column").agg(F.sum("count").alias("n")).select(F.lit("histograms"), "column", F.col("n").cast("double")))
+            .unionAll(got["frequencies"].groupBy("column").agg(F.sum("count").alias("n")).select(F.lit("frequencies"), "column", F.col("n").cast("double")))
+            .unionAll(got["temporal"].select(F.lit("temporal"), "column", F.col("count").cast("double"))), 4
+        )
+
+    pair = ("l_quantity", "l_tax")
+    register(
+        "dataset_stats",
+        stats_rows,
+        f"select 'moments' as part, \"column\", {r('avg(v)', 4)} as value from {cells_sql('lineitem', pair)} group by all "
+        f"union all select 'quartiles', \"column\", {r(avg_q(0.5), 4)} from {ordered('lineitem', pair)} group by all "
+        f"union all select 'histograms', \"column\", count(v)::double from {cells_sql('lineitem', pair)} group by all "
+        "union all select 'frequencies', 'l_returnflag', count(*)::double from lineitem union all select 'temporal', 'l_shipdate', count(l_shipdate)::double from lineitem",
+    )
+
+    def metadata_rows(sp, d):
+        got = plans.dataset_metadata(table(sp, d, "lineitem").select(*kinds), kinds)
+        names = sp.range(1).selectExpr(f"explode(array({', '.join(repr(k) for k in sorted(got))})) as part")
+        size = got["dataset"].selectExpr("'dataset' as part", "record_count as n")
+        per = [got[k].groupBy().agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in ("features", "numeric_features", "categorical_features", "temporal_features", "correlations", "value_counts")]
+        for p in per:
+            size = size.unionAll(p)
+        return names.join(size, "part", "left")
+
+    parts = ("categorical_features", "correlated_pairs", "correlations", "dataset", "date_patterns", "features", "histograms", "insights", "numeric_features", "recommendations", "temporal_features", "value_counts")
+    register(
+        "dataset_metadata",
+        metadata_rows,
+        "select part, case part when 'dataset' then (select count(*) from lineitem) when 'features' then 4 when 'numeric_features' then 2 when 'categorical_features' then 1 "
+        "when 'temporal_features' then 1 when 'correlations' then 4 when 'value_counts' then (select count(distinct l_returnflag) from lineitem) end as n from (values "
+        + ", ".join(f"('{x}')" for x in parts) + ") t(part)",
+    )
     register(
         "percentage_check",
         lambda sp, d: rounded(ops.percentage_check(table(sp, d, "lineitem")).drop("ordinal"), 2),
@@ -483,10 +572,12 @@ def _time() -> None:
     register(
         "temporal_stats",
         lambda sp, d: rounded(
-            ops.temporal_stats(table(sp, d, "events")).drop("variance", "standard_deviation").withColumn("mean", F.col("mean") / 1000), 1
+            ops.temporal_stats(table(sp, d, "events"))
+            .withColumn("mean", F.col("mean") / 1000)
+            .withColumns({"variance": F.col("variance") / 1e15, "standard_deviation": F.col("standard_deviation") / 1e6}), 1
         ),
         f"select 'ts' as \"column\", count(*) as \"count\", max(v)::bigint as max_ms, min(v)::bigint as min_ms, (max(v) - min(v))::bigint as \"range\", "
-        f"{r('avg(v) / 1000', 1)} as mean, {r(avg_q(0.5), 1)} as median, (select {ISO.format('min(ts)', 'min(ts)')} from events) as min_date, "
+        f"{r('avg(v) / 1000', 1)} as mean, {r('var_pop(v) / 1e15', 1)} as variance, {r('stddev_pop(v) / 1e6', 1)} as standard_deviation, {r(avg_q(0.5), 1)} as median, (select {ISO.format('min(ts)', 'min(ts)')} from events) as min_date, "
         f"(select {ISO.format('max(ts)', 'max(ts)')} from events) as max_date from {ms_ordered}",
     )
 
@@ -503,10 +594,10 @@ def _time() -> None:
         "date_pattern",
         lambda sp, d: rounded(
             ops.date_pattern(table(sp, d, "events")).unionAll(
-                ops.date_pattern(table(sp, d, "orders").select("o_orderdate").distinct())
+                ops.date_pattern(table(sp, d, "orders"))
             )
         ),
-        pattern_sql("events", "ts") + " union all " + pattern_sql("(select distinct o_orderdate from orders)", "o_orderdate"),
+        pattern_sql("events", "ts") + " union all " + pattern_sql("orders", "o_orderdate"),
     )
     register(
         "time_gaps",
@@ -547,6 +638,16 @@ def _time() -> None:
         lambda sp, d: ops.downsample(table(sp, d, "events").drop("props"), "ts", 1000, "event_id"),
         down.format(cols="event_id, ts, user_id, event_type, value", k=1000),
     )
+    # three rows in a thousand share the moment and the tie with others: none may stand for another
+    tied = "o_custkey % 3"
+    register(
+        "downsample_ties",
+        lambda sp, d: ops.downsample(
+            table(sp, d, "orders").selectExpr("date_trunc('MONTH', o_orderdate) as month", f"{tied} as tie", "o_orderkey"), "month", 700, "tie"
+        ).groupBy("month", "tie").agg(F.count("*").alias("picked"), F.countDistinct("o_orderkey").alias("different")),
+        f"with o as (select date_trunc('month', o_orderdate)::timestamp as month, {tied} as tie, row_number() over (order by date_trunc('month', o_orderdate), {tied}, o_orderkey) as rn, count(*) over () as n from orders) "
+        "select month, tie, count(*) as picked, count(*) as different from o where n <= 700 or (rn - 1) % greatest(1, n // 700) = 0 or rn = n group by all",
+    )
     register(
         "chart_line",
         lambda sp, d: plans.chart_data(table(sp, d, "events"), "line", time="ts", values=["value"], tie="event_id", max_points=300),
@@ -617,8 +718,21 @@ def _correlations() -> None:
                 out.append(f"select '{a}' as column_x, '{b}' as column_y, count(*) as pairs, {r('corr(ra, rb)')} as correlation from {ranked}")
         return " union all ".join(out)
 
-    trio = ("l_quantity", "l_extendedprice", "l_discount")
-    register("spearman", lambda sp, d: rounded(ops.spearman_pairs(table(sp, d, "lineitem"), trio)), rank_pairs("lineitem", trio))
+    register("spearman", lambda sp, d: rounded(ops.spearman_pairs(table(sp, d, "lineitem"), LINE_NUMBERS)), rank_pairs("lineitem", LINE_NUMBERS))
+    half = rank_pairs("lineitem", LINE_MEASURES)
+    register(
+        "spearman_matrix",
+        lambda sp, d: rounded(ops.correlation_matrix(table(sp, d, "lineitem"), LINE_MEASURES, method="spearman")),
+        f"with h as ({half}) select column_x, column_y, correlation from h union all select column_y, column_x, correlation from h union all "
+        + " union all ".join(f"select '{c}', '{c}', 1.0::double" for c in LINE_MEASURES),
+    )
+    # every column with gaps of its own
+    holes = {c: f"case when (l_orderkey + {i} * l_linenumber) % {i + 5} = 0 then null else {c} end" for i, c in enumerate(LINE_NUMBERS)}
+    register(
+        "pearson_many_missing",
+        lambda sp, d: rounded(ops.pearson_pairs(derived(table(sp, d, "lineitem"), holes))),
+        pairs_sql(derived_sql("lineitem", holes), LINE_NUMBERS),
+    )
     register(
         "spearman_missing",
         lambda sp, d: rounded(ops.spearman_pairs(gappy(sp, d), ["l_orderkey", "l_quantity", "l_extendedprice"])),
@@ -710,6 +824,12 @@ def _charts() -> None:
         picked.format(cols="*", t="orders", k="o_orderkey", seed=SEED, n=100),
     )
 
+    register(
+        "sample_reservoir",
+        lambda sp, d: ops.reservoir_sample(table(sp, d, "customer"), 150, ["c_custkey"], SEED),
+        picked.format(cols="*", t="customer", k="c_custkey", seed=SEED, n=150),
+    )
+
     def strat_sql(t, col, key, k):
         return (
             f"with h as (select *, md5(cast({key} as varchar) || '|{SEED}') as h, count(*) over (partition by {col}) as sc, count(*) over () as tc from {t}), "
@@ -756,7 +876,7 @@ def _quality() -> None:
     register(
         "incomplete_rows",
         lambda sp, d: rounded(ops.incomplete_rows(gappy(sp, d)).select("severity", "affected", "pct", "deduction")),
-        f"select {ladder_sql(rules.INCOMPLETE_LADDER)}, affected, {r('p')} as pct from (select count(*) filter (e > {len(gap_cols)} * 0.5) as affected, "
+        f"select {ladder_sql(SQL_LADDERS['incomplete'])}, affected, {r('p')} as pct from (select count(*) filter (e > {len(gap_cols)} * 0.5) as affected, "
         f"count(*) filter (e > {len(gap_cols)} * 0.5) * 100.0::double / count(*) as p from (select {empty_cells} as e from {GAPPY_SQL})) where affected > 0",
     )
     register(
@@ -777,6 +897,13 @@ def _quality() -> None:
         lambda sp, d: ops.duplicate_rows(dup(sp, d)),
         f"select * from (select {dup_cols}, row_number() over (partition by {dup_cols}) as occurrence from orders) where occurrence > 1",
     )
+    # a third of all rows made equal
+    hot = {c: f"case when l_orderkey % 3 = 0 then {'0' if c != 'l_returnflag' else repr('A')} else {c} end" for c in ("l_orderkey", "l_linenumber", "l_returnflag")}
+    register(
+        "duplicate_hot_row",
+        lambda sp, d: ops.duplicate_groups(derived(table(sp, d, "lineitem"), hot)),
+        f"select *, count(*) as copies from {derived_sql('lineitem', hot)} group by all having count(*) > 1",
+    )
     register(
         "duplicate_count",
         lambda sp, d: rounded(ops.duplicate_count(table(sp, d, "documents").select("text", "lang"))),
@@ -807,7 +934,7 @@ def _quality() -> None:
         lambda sp, d: ops.timeliness(health(sp, d), AS_OF).select("column", "kind", "severity", "deduction", "description"),
         timed,
     )
-    states = ", ".join("'" + x.lower() + "'" for x in rules.STATES)
+    states = ", ".join(f"'{x}'" for x in SQL_STATES)
     inside = f"lower(v) in ({states})"
     state_values = f"(select distinct \"State\" as v from {HEALTH_SQL} where \"State\" is not null and \"State\" <> '')"
     register(
@@ -834,7 +961,7 @@ def _quality() -> None:
     wide_found = ("category", "kind", "column", "type", "severity", "affected", "pct", "deduction")
 
     def health_issues(sp, d):
-        return ops.issues(health(sp, d), AS_OF, numeric=["Age", "BMI", "systolic_bp", "heart_rate"])
+        return ops.issues(health(sp, d), AS_OF)
 
     def counted(category, kind, column, type_, cond, steps, whole="count(*)"):
         return (
@@ -847,33 +974,33 @@ def _quality() -> None:
         cond = "v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)"
         return (
             f"select 'Accuracy' as category, 'issue' as kind, '{c}' as \"column\", case when p > 10 then 'extreme_outliers' else 'outliers' end as type, "
-            f"{ladder_sql(rules.OUTLIER_LADDER)}, affected, {r('p')} as pct from (select count(*) filter ({cond}) as affected, count(*) filter ({cond}) * 100.0::double / count(*) as p "
+            f"{ladder_sql(SQL_LADDERS['outlier'])}, affected, {r('p')} as pct from (select count(*) filter ({cond}) as affected, count(*) filter ({cond}) * 100.0::double / count(*) as p "
             f"from {cells_sql(HEALTH_SQL, (c,))}, (select {at(0.25)} as q1, {at(0.75)} as q3 from {src})) where affected > 0"
         )
 
     def m_range(name):
-        m = next(x for x in (*rules.MEASUREMENTS, *rules.PERSON_RANGES) if x.name == name)
-        return lambda c: f"\"{c}\" < {m.low} or \"{c}\" > {m.high}"
+        low, high = SQL_RANGES[name]
+        return lambda c: f"\"{c}\" < {low} or \"{c}\" > {high}"
 
     all_cols = list(HEALTH)
     nulls = [f"(\"{c}\" is null or cast(\"{c}\" as varchar) = '')" for c in all_cols]
     quoted = ", ".join(f'"{c}"' for c in all_cols)
     dup_n = f"(select count(*) - (select count(*) from (select distinct {quoted} from {HEALTH_SQL})) as affected, count(*) as n from {HEALTH_SQL})"
     report = [
-        *[counted("Completeness", "issue", f"'{c}'", "missing_values", e, rules.MISSING_LADDER) for c, e in zip(all_cols, nulls)],
-        counted("Completeness", "issue", "null", "incomplete_rows", " + ".join(f"{e}::int" for e in nulls) + f" > {len(all_cols)} * 0.5", rules.INCOMPLETE_LADDER),
-        counted("Consistency", "issue", "'heart_rate'", "logical_inconsistency", "heart_rate > 100", rules.ANY_MAJOR),
-        *[outlier_issue(c) for c in ("Age", "BMI", "systolic_bp", "heart_rate")],
-        counted("Accuracy", "issue", "'BMI'", "unrealistic_values", m_range("BMI")("BMI"), rules.ANY_MAJOR),
-        counted("Accuracy", "issue", "'Age'", "unrealistic_values", m_range("Age")("Age"), rules.ANY_MAJOR),
-        counted("Validity", "issue", "'Postcode'", "invalid_format", "not regexp_matches(\"Postcode\", '^\\d{4}$')", rules.ANY_MINOR),
-        counted("Validity", "issue", "'total_cholesterol'", "invalid_health_measurement", m_range("Cholesterol")("total_cholesterol"), rules.HEALTH_LADDER),
-        counted("Validity", "issue", "'systolic_bp'", "invalid_health_measurement", m_range("Blood_Pressure_Systolic")("systolic_bp"), rules.HEALTH_LADDER),
-        counted("Validity", "issue", "'heart_rate'", "invalid_health_measurement", m_range("Heart_Rate")("heart_rate"), rules.HEALTH_LADDER),
-        counted("Validity", "issue", "'weight_lbs'", "invalid_health_measurement", m_range("Weight_kg")("weight_lbs"), rules.HEALTH_LADDER),
+        *[counted("Completeness", "issue", f"'{c}'", "missing_values", e, SQL_LADDERS['missing']) for c, e in zip(all_cols, nulls)],
+        counted("Completeness", "issue", "null", "incomplete_rows", " + ".join(f"{e}::int" for e in nulls) + f" > {len(all_cols)} * 0.5", SQL_LADDERS['incomplete']),
+        counted("Consistency", "issue", "'heart_rate'", "logical_inconsistency", "heart_rate > 100", SQL_LADDERS['any_major']),
+        *[outlier_issue(c) for c in ("Age", "BMI", "total_cholesterol", "systolic_bp", "heart_rate", "Postcode", "weight_lbs", "Year")],
+        counted("Accuracy", "issue", "'BMI'", "unrealistic_values", m_range("BMI")("BMI"), SQL_LADDERS['any_major']),
+        counted("Accuracy", "issue", "'Age'", "unrealistic_values", m_range("Age")("Age"), SQL_LADDERS['any_major']),
+        counted("Validity", "issue", "'Postcode'", "invalid_format", "not regexp_matches(\"Postcode\", '^\\d{4}$')", SQL_LADDERS['any_minor']),
+        counted("Validity", "issue", "'total_cholesterol'", "invalid_health_measurement", m_range("Cholesterol")("total_cholesterol"), SQL_LADDERS['health']),
+        counted("Validity", "issue", "'systolic_bp'", "invalid_health_measurement", m_range("Blood_Pressure_Systolic")("systolic_bp"), SQL_LADDERS['health']),
+        counted("Validity", "issue", "'heart_rate'", "invalid_health_measurement", m_range("Heart_Rate")("heart_rate"), SQL_LADDERS['health']),
+        counted("Validity", "issue", "'weight_lbs'", "invalid_health_measurement", m_range("Weight_kg")("weight_lbs"), SQL_LADDERS['health']),
         counted("Australian Context", "issue", "'total_cholesterol'", "suspicious_unit", "total_cholesterol > 50", ((50.0, "major", 5),)),
         counted("Australian Context", "warning", "'diagnosis'", "non_standard_classification", "not regexp_matches(diagnosis, '^[A-Z]\\d\\d(\\.\\d)?$')", ((50.0, "minor", 1),)),
-        f"select 'Consistency', 'issue', null, 'duplicate_rows', {ladder_sql(rules.DUPLICATE_LADDER)}, affected, {r('p')} from (select affected, affected * 100.0::double / n as p from {dup_n}) where affected > 0",
+        f"select 'Consistency', 'issue', null, 'duplicate_rows', {ladder_sql(SQL_LADDERS['duplicate'])}, affected, {r('p')} from (select affected, affected * 100.0::double / n as p from {dup_n}) where affected > 0",
         f"select 'Consistency', 'warning', 'Year', 'chronological_gaps', 'minor', 1, count(*), null::double from (select y, lag(y) over (order by y) as p from (select distinct \"Year\" as y from {HEALTH_SQL})) where y > p + 1 having count(*) > 0",
         f"select 'Timeliness', kind, \"column\", 'outdated_data', severity, deduction, null::bigint, null::double from ({timed})",
         f"select 'Australian Context', 'warning', 'State', 'non_australian_states', 'minor', 2, n, null::double from (select count(*) filter (not {inside}) as n from {state_values}) where n > 0",
@@ -894,7 +1021,7 @@ def _quality() -> None:
         f"select *, case when score < 30 then 'critical' when score < 60 then 'poor' when score < 80 then 'fair' when score < 95 then 'good' else 'excellent' end as rating from ({score})",
     )
     advice = ", ".join(
-        "(" + ", ".join("null" if x is None else f"'{x}'" for x in a) + ")" for a in rules.ADVICE
+        "(" + ", ".join("null" if x is None else f"'{x}'" for x in a) + ")" for a in SQL_ADVICE
     )
     register(
         "quality_recommendations",
