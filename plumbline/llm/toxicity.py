@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import col, hidden
 
 #: Rows of each label that the model is fitted on, at most.
-MAX_DOCS = 2000
+MAX_DOCS = 1500
 SENTENCE_WORDS = 48
 PREFIXES = (4, 5)
 THRESHOLD = 0.7
@@ -120,7 +120,8 @@ def fit(ids: np.ndarray, sentence_at: np.ndarray, bag_at: np.ndarray, labels: np
     sentence_of = np.repeat(np.arange(len(sentence_at)), np.diff(np.append(sentence_at, len(ids))))
     names, feature = np.unique(ids, return_inverse=True)
     # in how many documents of either label a feature occurs
-    pairs = np.unique(feature * len(labels) + bag_of_sentence[sentence_of])
+    feature, sentence_of = feature.astype(np.int32), sentence_of.astype(np.int32)
+    pairs = np.unique(feature.astype(np.int64) * len(labels) + bag_of_sentence[sentence_of])
     owner, toxic = pairs // len(labels), labels[pairs % len(labels)] > 0
     pos, neg = np.bincount(owner[toxic], minlength=len(names)), np.bincount(owner[~toxic], minlength=len(names))
     n_pos, n_neg = labels.sum(), len(labels) - labels.sum()
@@ -190,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not counts:
         return Model({}, 0.0)
     sizes = np.concatenate(counts)
+    del got, parts
     return fit(ids, np.cumsum(sizes) - sizes, np.cumsum([len(x) for x in counts]) - [len(x) for x in counts], y)
 
 
