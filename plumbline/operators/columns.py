@@ -108,7 +108,7 @@ def row_hash(df: DataFrame, seed: int = 42) -> Column:
         if kind in ("double", "float"):
             parts.append(c.raw + F.lit(0.0))
         elif kind.startswith("map<"):
-            parts.append(F.array_sort(F.transform(F.map_entries(c.raw), F.to_json)))
+            parts.append(F.array_sort(F.transform(F.map_entries(c.raw), lambda e: F.to_json(e))))
         elif "map<" in kind or kind == "variant":
             parts.append(F.to_json(c.raw))
         else:
