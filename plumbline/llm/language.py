@@ -102,7 +102,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: Column
     picked = slim.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_docs)
     picked = picked.select(F.col("lang").alias("l"), "h")
     texts = rows.select(col(lang).alias("lang"), F.xxhash64(F.lit(42), col(text)).alias("hash"), col(text).alias("t"))
-    texts = texts.join(picked, (F.col("hash") == F.col("h")) & (F.col("lang") == F.col("l")))
+    # at most sample_docs rows for each language
+    texts = texts.join(F.broadcast(picked), (F.col("hash") == F.col("h")) & (F.col("lang") == F.col("l")))
     start = F.greatest(F.lit(1), ((F.length("t") - piece_chars) / 2).cast("int"))
     pieces = texts.select("lang", "hash", F.substring("t", start, F.lit(piece_chars)).alias("piece")).distinct()
     got: dict[str, list[tuple[int, bytes]]] = {}
