@@ -11,7 +11,9 @@ found there holds in all others.
 
 Centroids and rotation come from a bounded sample of ``SAMPLE`` distinct vectors, as does
 the number of lists to probe: the least that finds ``recall`` of the true neighbours
-within the sample.  Every vector is indexed.
+within the sample.  A query whose nearest lists together hold too few ids, as in small
+outlying clusters, probes further ones until they hold enough; so every query gets ``k``
+rows if the table has them.  Every vector is indexed.
 
 Equal vectors are searched once: a vector stands for the ``k + 1`` smallest of its ids,
 which are all that can be among the best.  Lists are cut by hash into blocks of about
@@ -69,6 +71,13 @@ class Model:
         d = (self.centres**2).sum(axis=1)[None] - 2 * turned @ self.centres.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
+    def lists_of(self, turned: np.ndarray, held: np.ndarray, need: int) -> list[np.ndarray]:
+        """The lists each vector probes, nearest first: ``probes``, or as many more as hold ``need`` ids together."""
+        order = self.near(turned, len(self.centres))
+        together = np.minimum(held, need).astype(np.int32)[order].cumsum(axis=1, dtype=np.int32)
+        n = np.maximum(self.probes, (together < need).sum(axis=1) + 1)
+        return [row[:m].astype(np.int32) for row, m in zip(order, n)]
+
 
 def fit(sample: np.ndarray, norm: float, total: int, recall: float = RECALL, k: int = 20, seed: int = 42, lists: int = LISTS) -> Model:
     """A model from a sample of distinct vectors out of ``total``."""
@@ -174,11 +183,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
 
     @F.pandas_udf("array<int>")
     def probed(v: pd.Series) -> pd.Series:
-        return pd.Series(list(model.near(model.lift(np.array(v.tolist()), True), model.probes).astype("int32")) if len(v) else [])
+        return pd.Series(model.lists_of(model.lift(np.array(v.tolist()), True), held, k + 1) if len(v) else [])
 
     kept = cut(known.withColumn("list", home("v")))
+    counts = kept.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("held")).collect()  # a row per list
+    sizes = {r["list"]: r["n"] for r in counts}
+    held = np.zeros(len(model.centres), np.int64)
+    held[list(sizes)] = [r["held"] for r in counts]
     queries = cut(known.where("asked").select("h", "v", probed("v").alias("lists")))
-    sizes = {r["list"]: r["count"] for r in kept.groupBy("list").count().collect()}  # a row per list
 
     def scan(tasks: DataFrame) -> DataFrame:
         """Best (h, score, id) of queries (h, v, list, floor) in their lists."""
@@ -210,7 +222,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     start = queries.select("h", "v", F.element_at("lists", 1).alias("list"), F.lit(float("-inf")).alias("floor"))
     first = cut(scan(start).withColumn("n", top).where(F.col("n") <= k + 1).drop("n"))
     floors = first.groupBy("h").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("floor"))
-    rest = queries.join(floors, "h", "left").select("h", "v", F.explode(F.slice("lists", 2, model.probes)).alias("list"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    rest = queries.join(floors, "h", "left").select("h", "v", F.explode(F.slice("lists", F.lit(2), F.size("lists"))).alias("list"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     found = first.union(scan(rest)).withColumn("n", top).where(F.col("n") <= k + 1)
     best = found.groupBy("h").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id")))).alias("best"))
     # every row that asks gets its vector's list, without itself

@@ -80,3 +80,28 @@ def test_scan_against_all(k):
     got = neighbours.scan_list(model, [[i] for i in range(len(c))], c, q, np.full(7, -np.inf), k)
     want = {(i, int(j)) for i in range(7) for j in np.argsort(-(c @ q[i]))[:k]}
     assert len(got) == 7 * k and len({(i, j) for i, _, j in got} & want) >= 0.97 * len(want)
+
+
+def test_small_outlying_clusters_get_k_rows_too(spark):
+    rng = np.random.default_rng(3)
+
+    def directions(n):
+        z = rng.standard_normal((n, 8))
+        return z / np.linalg.norm(z, axis=1)[:, None]
+
+    dense = np.repeat(directions(40), 50, axis=0) + rng.standard_normal((2000, 8)) * 0.02
+    far = np.repeat(directions(60), 2, axis=0) + rng.standard_normal((120, 8)) * 0.001
+    x = np.concatenate([dense, far]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], KIND)
+    got = found(neighbours.search(df, F.lit(True), recall=0.9))
+    assert len(got) == len(x) and {len(r) for r in got.values()} == {20}
+    # k above the number of candidates: every one of them
+    few = df.where("vec_id < 15 or vec_id >= 2115")
+    assert {len(r) for r in found(neighbours.search(few, F.lit(True), k=50, recall=0.5)).values()} == {19}
+
+
+def test_lists_probed_until_they_hold_enough():
+    model = neighbours.Model(1.0, np.eye(2), np.array([[0.0, 0.0], [1.0, 0.0], [2.0, 0.0], [9.0, 0.0]]), 1)
+    near = lambda need: [r.tolist() for r in model.lists_of(np.array([[0.1, 0.0], [8.0, 0.0]]), np.array([3, 0, 5, 40]), need)]
+    assert near(3) == [[0], [3]] and near(8) == [[0, 1, 2], [3]] and near(40) == [[0, 1, 2, 3], [3]]
+    assert near(99) == [[0, 1, 2, 3], [3, 2, 1, 0]]
