@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, language, licenses, mixing, neighbours, pii, sharding, simhash, toxicity, urls
+from plumbline.llm import decontaminate, language, licenses, mixing, neighbours, pii, sharding, simhash, suffixes, toxicity, urls
 from plumbline.llm.common import cut, fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,8 +83,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 1).alias("held_out"), "score", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"), places.alias("offending"))
 
 
+def op13_first_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.first_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_personal_data, op3_decontaminate, op4_neighbours, op5_shards, op6_simhash, op7_licenses, op8_language, op9_url_filter, op10_toxicity,
+    op13_first_copies,
 )}
 
 _SPELLED = "' ' || regexp_replace(regexp_replace(replace(replace(lower(coalesce({0}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright|\\(c\\)|©|all rights reserved|portions copyright)[^\\n]*$', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
