@@ -733,6 +733,11 @@ def _correlations() -> None:
         lambda sp, d: rounded(ops.pearson_pairs(derived(table(sp, d, "lineitem"), holes))),
         pairs_sql(derived_sql("lineitem", holes), LINE_NUMBERS),
     )
+    register(
+        "spearman_many_missing",
+        lambda sp, d: rounded(ops.spearman_pairs(derived(table(sp, d, "lineitem"), holes))),
+        rank_pairs(derived_sql("lineitem", holes), LINE_NUMBERS),
+    )
     register(
         "spearman_missing",
         lambda sp, d: rounded(ops.spearman_pairs(gappy(sp, d), ["l_orderkey", "l_quantity", "l_extendedprice"])),

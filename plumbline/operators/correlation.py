@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import Cell, local_table, number_cells
-from plumbline.operators.ordering import average_ranks, bucket_edges
+from plumbline.operators.ranks import rank_sums
 
 MIN_PAIRS = 3
 
@@ -27,6 +26,9 @@ def column_pairs(profile: DataFrame) -> DataFrame:
 PAIR_SCHEMA = "column_x string, column_y string, pairs bigint, correlation double"
 # A share of its square sum below which a spread is rounding: the column is constant over the pair.
 ROUNDING = 1e-12
+# Partial sums of a pair over its complete rows: their number, sums, square sums, products.
+SUMS = ("n", "sx", "sy", "qx", "qy", "p")
+SUMS_SCHEMA = "pair long, " + ", ".join(f"{f} double" for f in SUMS)
 
 
 def _all_pairs(df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[str, str]], zero_variance: str) -> DataFrame:
@@ -61,14 +63,17 @@ def _all_pairs(df: DataFrame, values: dict[str, Column], pairs: Sequence[tuple[s
         out = {"pair": np.arange(len(index)), "n": n[i, j], "sx": s[i, j], "sy": s[j, i], "qx": q[i, j], "qy": q[j, i], "p": p[i, j]}
         yield pa.RecordBatch.from_pydict(out)
 
-    fields = ["n", "sx", "sy", "qx", "qy", "p"]
-    parts = source.mapInArrow(sums, "pair long, " + ", ".join(f"{f} double" for f in fields))
-    total = parts.groupBy("pair").agg(*[F.sum(f).alias(f) for f in fields])
+    return _coefficients(source.mapInArrow(sums, SUMS_SCHEMA), pairs, zero_variance)
+
+
+def _coefficients(parts: DataFrame, pairs: Sequence[tuple[str, str]], zero_variance: str) -> DataFrame:
+    """Coefficients from partial sums by pair; a pair without sums has no rows."""
+    total = parts.groupBy("pair").agg(*[F.sum(f).alias(f) for f in SUMS]).where("n > 0")
     vx, vy = (F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}") / F.col("n") for c in "xy")
     flat = (vx <= F.col("qx") * ROUNDING) | (vy <= F.col("qy") * ROUNDING)
     r = (F.col("p") - F.col("sx") * F.col("sy") / F.col("n")) / (F.sqrt(vx) * F.sqrt(vy))
     constant = F.lit(0.0 if zero_variance == "zero" else None).cast("double")
-    labels = local_table(df.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair long, column_x string, column_y string")
+    labels = local_table(parts.sparkSession, [(i, a, b) for i, (a, b) in enumerate(pairs)], "pair long, column_x string, column_y string")
     return labels.join(F.broadcast(total), "pair", "left").select(  # a row per pair on both sides
         "column_x",
         "column_y",
@@ -93,51 +98,23 @@ def pearson_pairs(df: DataFrame, columns: Iterable[str] | None = None, zero_vari
 def spearman_pairs(
     df: DataFrame, columns: Iterable[str] | None = None, zero_variance: str = "null"
 ) -> DataFrame:
-    """Rank correlation of every unordered pair, ranks taken over the complete pairs.
+    """Rank correlation of every unordered pair, ranks taken over the complete rows of the pair.
 
-    Columns without missing cells are ranked once for all their pairs; a pair with missing
-    cells has ranks of its own, over the rows that it leaves.
+    Ranks of all columns, and within all pairs, come out of one pass over ordered slots
+    (``ranks.rank_sums``): the number of scans, shuffles and joins does not depend on the
+    number of columns, pairs or missing cells.
     """
     picked = number_cells(df, columns)
-    filled = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c.number()).alias(f"n{c.ordinal}") for c in picked]).first()
-    complete = [c for c in picked if filled[f"n{c.ordinal}"] == filled["rows"]]
-    gappy_pairs = [p for p in combinations(picked, 2) if not (p[0] in complete and p[1] in complete)]
-    parts = []
-    if len(complete) > 1:
-        # no missing cells: a column has the same ranks in all its pairs
-        ranked = _ranked(df.select(*[c.number().alias(f"x{c.ordinal}") for c in complete]), complete)
-        values = {c.name: F.col(f"r{c.ordinal}") for c in complete}
-        pairs = list(combinations([c.name for c in complete], 2))
-        parts.append(_all_pairs(ranked, values, pairs, zero_variance))
-    for a, b in gappy_pairs:
-        both = df.select(a.number().alias(f"x{a.ordinal}"), b.number().alias(f"x{b.ordinal}")).dropna()
-        ranked = _ranked(both, [a, b])
-        values = {c.name: F.col(f"r{c.ordinal}") for c in (a, b)}
-        parts.append(_all_pairs(ranked, values, [(a.name, b.name)], zero_variance))
-    if not parts:
+    pairs = list(combinations([c.name for c in picked], 2))
+    if not pairs:
         return local_table(df.sparkSession, [], PAIR_SCHEMA)
-    return reduce(DataFrame.unionAll, parts)
+    return _coefficients(rank_sums(df, {c.name: c.number() for c in picked}, pairs), pairs, zero_variance)
 
 
 def spearman(df: DataFrame, x: str, y: str, zero_variance: str = "null") -> DataFrame:
     return spearman_pairs(df, [x, y], zero_variance)
 
 
-def _ranked(rows: DataFrame, picked: Sequence[Cell]) -> DataFrame:
-    """``rows`` with the average rank of each column as ``r<i>``.
-
-    One join per column.  The rank table has one row per distinct value: a hot value meets
-    one build row, and the adaptive skew join splits its probe side.
-    """
-    names = [f"x{c.ordinal}" for c in picked]
-    edges = bucket_edges(rows, {n: F.col(n) for n in names})
-    out = rows
-    for c, n in zip(picked, names):
-        ranks = average_ranks(rows.select(n), n, edges[n])
-        out = out.join(ranks.select(n, F.col("rank").alias(f"r{c.ordinal}")), n)
-    return out
-
-
 def correlation_matrix(
     df: DataFrame,
     columns: Iterable[str] | None = None,

@@ -63,16 +63,29 @@ def _shares(df: DataFrame, picked: Sequence[Cell], number, dated) -> DataFrame:
     )
 
 
-def _default(df, picked, order_by):
-    s = _shares(df, picked, lambda c: c.number("whole"), lambda c: c.looks_dated())
+def default_aggregates(c: Cell) -> dict[str, Column]:
+    """What the default policy counts of a column."""
+    return {
+        "rows": F.count(F.lit(1)),
+        "filled": F.count_if(~c.missing),
+        "numbers": F.count_if(~c.missing & c.number("whole").isNotNull()),
+        "dates": F.count_if(~c.missing & c.looks_dated()),
+    }
+
+
+def default_type() -> Column:
+    """The default policy's type, from its counts."""
     filled = F.col("filled")
-    kind = (
+    return (
         F.when(filled == 0, "unknown")
         .when(F.col("dates") >= filled * F.lit(0.8), "temporal")
         .when(F.col("numbers") > filled * F.lit(0.9), "numeric")
         .otherwise("categorical")
     )
-    return s.select("column", "ordinal", kind.alias("type"))
+
+
+def _default(df, picked, order_by):
+    return wide(df, picked, default_aggregates).select("column", "ordinal", default_type().alias("type"))
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str] | None) -> DataFrame:

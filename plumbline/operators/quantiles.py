@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import Cell, cells, local_table, number_cells, wide
-from plumbline.operators.ordering import Target, floor_index, order_statistics, partner_index
+from plumbline.operators.ordering import Target, floor_index, grouped_order_statistics, order_statistics, partner_index
 
 MAX_BOXES = 15
 
@@ -64,13 +64,13 @@ def quantiles(
     return local_table(df.sparkSession, rows, "column string, p double, quantile double")
 
 
-def quartile_table(df: DataFrame, picked: Sequence[Cell]) -> dict[str, dict]:
+def quartile_table(df: DataFrame, picked: Sequence[Cell], reach: float = 1.5) -> dict[str, dict]:
     """Per column: n, min, max, ``q1``/``mid``/``q3`` at ``floor(n * p)``, averaged quartiles, fences."""
     found = _positions(df, picked, averaging_targets((0.25, 0.5, 0.75)))
     out = {}
     for name, f in found.items():
         q1, q3 = f["at0.25"], f["at0.75"]
-        lower, upper = fences(q1, q3)
+        lower, upper = fences(q1, q3, reach)
         out[name] = {
             "n": f["n"],
             "min": f["min"],
@@ -87,11 +87,12 @@ def quartile_table(df: DataFrame, picked: Sequence[Cell]) -> dict[str, dict]:
     return out
 
 
-def fences(q1: float | None, q3: float | None) -> tuple[float | None, float | None]:
+def fences(q1: float | None, q3: float | None, reach: float = 1.5) -> tuple[float | None, float | None]:
+    """Bounds ``reach`` interquartile ranges beyond the quartiles."""
     if q1 is None or q3 is None:
         return None, None
     iqr = q3 - q1
-    return q1 - 1.5 * iqr, q3 + 1.5 * iqr
+    return q1 - reach * iqr, q3 + reach * iqr
 
 
 def outside(v: Column, lower: float | None, upper: float | None) -> Column:
@@ -146,11 +147,13 @@ def outlier_values(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _boxes(df: DataFrame, value: str, category: str | None, max_boxes: int):
-    """Per drawn category: its values as an expression and its whiskers."""
+def _boxes(df: DataFrame, value: str, category: str | None, max_boxes: int) -> tuple[DataFrame, DataFrame]:
+    """``(category, v)`` rows of the drawn categories, and a table of their boxes."""
     num = cells(df, [value])[0].number()
+    targets = [Target(n, p, floor_index(p)) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
     if category is None:
-        lists = {value: num}
+        label = F.lit(value)
+        found = order_statistics(df, {value: num}, targets)
     else:
         label = F.coalesce(cells(df, [category])[0].text(), F.lit(""))
         top = (
@@ -159,14 +162,20 @@ def _boxes(df: DataFrame, value: str, category: str | None, max_boxes: int):
             .orderBy(F.desc("size"), "category")
             .limit(max_boxes)
         )
-        lists = {r["category"]: F.when(label == F.lit(r["category"]), num) for r in top.collect()}
-    targets = [Target(n, p, floor_index(p)) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
-    found = order_statistics(df, lists, targets)
-    for f in found.values():
+        found = grouped_order_statistics(df, label, num, [r["category"] for r in top.collect()], targets)
+    rows = []
+    for name, f in found.items():
         lower, upper = fences(f["q1"], f["q3"])
-        f["low"] = None if lower is None else max(f["min"], lower)
-        f["high"] = None if upper is None else min(f["max"], upper)
-    return lists, found
+        low = None if lower is None else max(f["min"], lower)
+        high = None if upper is None else min(f["max"], upper)
+        rows.append((name, f["n"], low, f["q1"], f["median"], f["q3"], high))
+    table = local_table(df.sparkSession, rows, "category string, n bigint, min double, q1 double, median double, q3 double, max double")
+    return df.select(label.alias("category"), num.alias("v")), table
+
+
+def _beyond(rows: DataFrame, table: DataFrame) -> DataFrame:
+    whiskers = F.broadcast(table.select("category", "min", "max"))  # one row per drawn category
+    return rows.join(whiskers, "category").where((F.col("v") < F.col("min")) | (F.col("v") > F.col("max")))
 
 
 def boxplot(df: DataFrame, value: str, category: str | None = None, max_boxes: int = MAX_BOXES) -> DataFrame:
@@ -175,42 +184,16 @@ def boxplot(df: DataFrame, value: str, category: str | None = None, max_boxes: i
     With more categories than ``max_boxes`` the most frequent are drawn.
     Without ``category`` there is one box for the whole column.
     """
-    lists, found = _boxes(df, value, category, max_boxes)
-    names = list(lists)
-    counts = df.agg(
-        *[
-            F.count_if(outside(lists[n], found[n]["low"], found[n]["high"])).alias(f"o{i}")
-            for i, n in enumerate(names)
-        ]
+    rows, table = _boxes(df, value, category, max_boxes)
+    counted = _beyond(rows, table).groupBy("category").agg(F.count(F.lit(1)).alias("beyond"))
+    return table.join(F.broadcast(counted), "category", "left").select(
+        "category", "n", "min", "q1", "median", "q3", "max", F.coalesce("beyond", F.lit(0)).alias("outliers")
     )
-    rows = [
-        F.struct(
-            F.lit(n).alias("category"),
-            F.lit(found[n]["n"]).cast("bigint").alias("n"),
-            *[
-                F.lit(found[n][src]).cast("double").alias(dst)
-                for src, dst in (("low", "min"), ("q1", "q1"), ("median", "median"), ("q3", "q3"), ("high", "max"))
-            ],
-            F.col(f"o{i}").alias("outliers"),
-        )
-        for i, n in enumerate(names)
-    ]
-    return counts.select(F.inline(F.array(*rows)))
 
 
 def boxplot_outliers(
     df: DataFrame, value: str, category: str | None = None, max_boxes: int = MAX_BOXES
 ) -> DataFrame:
     """``(category, value, count)`` of the values beyond the whiskers."""
-    lists, found = _boxes(df, value, category, max_boxes)
-    num = cells(df, [value])[0].number()
-    label = F.lit(value) if category is None else F.coalesce(cells(df, [category])[0].text(), F.lit(""))
-    beyond = F.lit(False)
-    for n, f in found.items():
-        if f["n"]:
-            beyond = beyond | ((label == F.lit(n)) & outside(num, f["low"], f["high"]))
-    return (
-        df.where(beyond)
-        .groupBy(label.alias("category"), num.alias("value"))
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    rows, table = _boxes(df, value, category, max_boxes)
+    return _beyond(rows, table).groupBy("category", F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("count"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 # Fixed values: (share in per cent above which it applies, severity, score deduction).
 MISSING_LADDER = ((50.0, "critical", 10), (20.0, "major", 5), (5.0, "minor", 2))
@@ -99,7 +100,71 @@ ADVICE_TEXT = {
 }
 
 
-def columns_with(names: list[str], words: tuple[str, ...], match: str = "substring") -> list[str]:
+# Fixed value: cells beyond so many interquartile ranges from the quartiles are outliers.
+FENCE = 1.5
+# Fixed value: the first-rows rules look at so many rows.
+FIRST_ROWS = 100
+
+Ladder = Sequence[tuple[float, str, int]]
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Every threshold, range, name part and deduction of the quality report.
+
+    Ladders hold ``(share in per cent above which a step applies, severity, deduction)``,
+    the highest share first, at most three steps.  ``replace`` from ``dataclasses`` makes a
+    variant of the default rules.
+    """
+
+    missing: Ladder = MISSING_LADDER
+    incomplete: Ladder = INCOMPLETE_LADDER
+    incomplete_share: float = 0.5
+    duplicates: Ladder = DUPLICATE_LADDER
+    outliers: Ladder = OUTLIER_LADDER
+    fence: float = FENCE
+    health: Ladder = HEALTH_LADDER
+    any_major: Ladder = ANY_MAJOR
+    any_minor: Ladder = ANY_MINOR
+    ages: Sequence[tuple[float, str, str, int]] = AGE_LADDER
+    ratings: Sequence[tuple[float, str]] = RATINGS
+    best_rating: str = BEST_RATING
+    measurements: Sequence[Measurement] = MEASUREMENTS
+    person_ranges: Sequence[Measurement] = PERSON_RANGES
+    share_words: Sequence[str] = SHARE_WORDS
+    share_limit: float = SHARE_LIMIT
+    states: Sequence[str] = STATES
+    state_count: int = STATE_COUNT
+    state_words: Sequence[str] = STATE_WORDS
+    state_deductions: tuple[int, int] = (2, 1)
+    year_column: str = "Year"
+    year_deduction: int = 1
+    units: Sequence[tuple[str, str, str]] = UNITS
+    unit_deduction: int = 1
+    unit_value_words: Sequence[str] = UNIT_VALUE_WORDS
+    unit_value_limit: float = UNIT_VALUE_LIMIT
+    unit_values: Ladder = ((50.0, "major", 5),)
+    diagnosis_words: Sequence[str] = DIAGNOSIS_WORDS
+    diagnoses: Ladder = ((50.0, "minor", 1),)
+    first_rows: int = FIRST_ROWS
+    advice: Sequence[tuple[str, str | None, str, str, str]] = ADVICE
+    advice_text: Mapping[str, str] = field(default_factory=lambda: dict(ADVICE_TEXT))
+
+    def __post_init__(self):
+        for name in ("missing", "incomplete", "duplicates", "outliers", "health", "any_major", "any_minor", "unit_values", "diagnoses"):
+            steps = getattr(self, name)
+            limits = [s[0] for s in steps]
+            if not 1 <= len(steps) <= 3 or limits != sorted(limits, reverse=True):
+                raise ValueError(f"{name}: one to three steps, the highest share first")
+        for m in (*self.measurements, *self.person_ranges):
+            if m.low > m.high:
+                raise ValueError(f"{m.name}: {m.low} is above {m.high}")
+
+
+DEFAULT = Rules()
+
+
+def columns_with(names: Sequence[str], words: Sequence[str], match: str = "substring") -> list[str]:
     """Columns whose lower-cased name contains one of the words; ``token`` matches whole parts only."""
     if match not in ("substring", "token"):
         raise ValueError(f"unknown match: {match}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from plumbline.operators.columns import cells, local_table, settle, wide
 from plumbline.operators.frequency import cardinality, categorical_profile, continuity
 from plumbline.operators.histogram import histogram
-from plumbline.operators.infer import type_map
+from plumbline.operators.infer import default_aggregates, default_type, type_map
+from plumbline.operators.ordering import doubles_sql
 from plumbline.operators.quantiles import quartile_profile
-from plumbline.operators.summary import looks_like_whole, moments
+from plumbline.operators.summary import moments
 
 TEMPORAL = ("temporal", "date")
 
@@ -36,41 +38,110 @@ def numeric_histograms(df: DataFrame, columns=None, bins: int = 10) -> DataFrame
     return histogram(df, columns, bins)
 
 
+# Sketches answer a yes or no only where it holds this far to both sides: shares of rows, and of distinct values.
+RANK_MARGIN = 0.003
+DISTINCT_ERROR = 0.01
+DISTINCT_MARGIN = 5 * DISTINCT_ERROR
+# Fewer distinct values than this are counted exactly.
+FEW_VALUES = 1000
+SKETCH_K = 4096
+LADDER = 1000
+
+
+def _column_facts(df: DataFrame, names: list[str]) -> dict[str, dict]:
+    """Per column, from one scan: counts for its type, sum and mean, sketches of distinct values and of quantiles.
+
+    ``q`` holds the approximate quantiles at ``LADDER`` equal steps.
+    """
+    shares = F.expr(doubles_sql([i / LADDER for i in range(LADDER + 1)]))
+    sketch = lambda c: F.call_function("kll_sketch_agg_double", c.number(), F.lit(SKETCH_K))
+
+    def aggregates(c):
+        return default_aggregates(c) | {
+            "n": F.count(c.number()),
+            "sum": F.coalesce(F.sum(c.number()), F.lit(0.0)),
+            "mean": F.avg(c.number()),
+            "values": F.approx_count_distinct(c.number(), DISTINCT_ERROR),
+            "texts": F.approx_count_distinct(c.text(), DISTINCT_ERROR),
+            "q": F.when(F.count(c.number()) > 0, F.call_function("kll_sketch_get_quantile_double", sketch(c), shares)),
+        }
+
+    state = wide(df, cells(df, names), aggregates)
+    state = state.withColumn("type", default_type())
+    rows = state.select("column", "type", "rows", "filled", "n", "sum", "mean", "values", "texts", "q").collect()  # a row per column
+    return {r["column"]: r.asDict() for r in rows}
+
+
+def _sure(least: float, most: float, limit: float) -> bool | None:
+    """Whether a number is above the limit, if all it can be agrees."""
+    return True if least > limit else False if most <= limit else None
+
+
+def _judged(f: dict) -> dict[str, bool | None]:
+    """What sketches alone can say of a numeric column: None where only exact numbers can."""
+    n = f["n"]
+    if not n:
+        return {"is_continuous": False, "skewed": False, "has_outliers": False}
+    few, many = f["values"] * (1 - DISTINCT_MARGIN), f["values"] * (1 + DISTINCT_MARGIN)
+    q = f["q"]
+    q1, mid, q3 = ((q[round((p - RANK_MARGIN) * LADDER)], q[round((p + RANK_MARGIN) * LADDER)]) for p in (0.25, 0.5, 0.75))
+    lo, hi = abs(f["mean"] - mid[0]), abs(f["mean"] - mid[1])
+    inside = mid[0] <= f["mean"] <= mid[1]
+    # shares of rows beyond the widest and the narrowest that the fences can be
+    below = [bisect_left(q, 2.5 * q1[0] - 1.5 * q3[1]) / LADDER, bisect_left(q, 2.5 * q1[1] - 1.5 * q3[0]) / LADDER]
+    above = [1 - bisect_right(q, 2.5 * q3[1] - 1.5 * q1[0]) / LADDER, 1 - bisect_right(q, 2.5 * q3[0] - 1.5 * q1[1]) / LADDER]
+    margin = 2 * RANK_MARGIN + 2 / LADDER
+    return {
+        "is_continuous": False if n < 10 else _sure(few, many, n * 0.2),
+        "skewed": False if n <= 20 else _sure(0.0 if inside else min(lo, hi), max(lo, hi), abs(f["mean"]) * 0.2),
+        "has_outliers": _sure(below[0] + above[0] - margin, below[1] + above[1] + margin, 0.05),
+    }
+
+
+PROFILE_SCHEMA = (
+    "column string, ordinal int, type string, rows bigint, missing bigint, n bigint, distinct bigint, is_continuous boolean, "
+    "is_percentage boolean, skewed boolean, has_outliers boolean, cardinality bigint"
+)
+
+
 def chart_profile(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:
     """One row per column with what the chart rules ask about.
 
     ``column, ordinal, type, rows, missing, n, distinct, is_continuous, is_percentage,
-    skewed, has_outliers, cardinality``.
+    skewed, has_outliers, cardinality``.  One scan keeps sketches of all columns; an answer
+    that a sketch leaves open, and the cardinality of categories of few values, are counted
+    exactly.  ``distinct`` and larger cardinalities are estimates where nothing depends on
+    the exact number.
     """
-    types = dict(types or type_map(df))
+    facts = _column_facts(df, list(types) if types else df.columns)
+    types = dict(types or {c: f["type"] for c, f in facts.items()})
     numeric, categorical = _named(types, "numeric"), _named(types, "categorical")
-    names = local_table(
-        df.sparkSession, [(c, i, types[c]) for i, c in enumerate(df.columns) if c in types],
-        "column string, ordinal int, type string",
-    )
-    missing = wide(df, cells(df, list(types)), lambda c: {"rows": F.count(F.lit(1)), "missing": F.count_if(c.missing)})
-    out = names.join(F.broadcast(missing.drop("ordinal")), "column")
-    if numeric:
-        c = continuity(df, numeric)
-        n = numeric_profile(df, numeric).select(
-            "column",
-            looks_like_whole(F.coalesce("sum", F.lit(0.0))).alias("is_percentage"),
-            ((F.col("count") > 20) & (F.abs(F.col("mean") - F.col("mid")) > F.abs("mean") * 0.2)).alias("skewed"),
-            (F.col("outliers") > F.col("count") * 0.05).alias("has_outliers"),
-        )
-        out = out.join(F.broadcast(c), "column", "left").join(F.broadcast(n), "column", "left")
-    else:
-        out = out.select(
-            "*",
-            F.lit(None).cast("bigint").alias("n"),
-            F.lit(None).cast("bigint").alias("distinct"),
-            *[F.lit(False).alias(b) for b in ("is_continuous", "is_percentage", "skewed", "has_outliers")],
-        )
-    if categorical:
-        out = out.join(F.broadcast(cardinality(df, categorical)), "column", "left")
-    else:
-        out = out.withColumn("cardinality", F.lit(None).cast("bigint"))
-    return settle(out.fillna(False, ["is_continuous", "is_percentage", "skewed", "has_outliers"]))
+    said = {c: _judged(facts[c]) for c in numeric}
+    distinct = {c: facts[c]["values"] for c in numeric}
+    open_ = [c for c in numeric if said[c]["is_continuous"] is None]
+    if open_:
+        for r in continuity(df, open_).collect():
+            distinct[r["column"]], said[r["column"]]["is_continuous"] = r["distinct"], r["is_continuous"]
+    open_ = [c for c in numeric if None in said[c].values()]
+    if open_:
+        for r in numeric_profile(df, open_).collect():
+            skewed = r["count"] > 20 and abs(r["mean"] - r["mid"]) > abs(r["mean"]) * 0.2
+            said[r["column"]] |= {"skewed": skewed, "has_outliers": r["outliers"] > r["count"] * 0.05}
+    held = {c: facts[c]["texts"] for c in categorical}
+    few = [c for c in categorical if held[c] <= FEW_VALUES]
+    if few:
+        held |= {r["column"]: r["cardinality"] for r in cardinality(df, few).collect()}
+    rows = []
+    for i, c in enumerate(df.columns):
+        if c not in types:
+            continue
+        f, j = facts[c], said.get(c, {})
+        whole = abs(f["sum"] - 100) < 5 or abs(f["sum"] - 1) < 0.05
+        rows.append((
+            c, i, types[c], f["rows"], f["rows"] - f["filled"], f["n"] if j else None, distinct.get(c), j.get("is_continuous", False),
+            bool(j) and whole, j.get("skewed", False), j.get("has_outliers", False), held.get(c),
+        ))
+    return local_table(df.sparkSession, rows, PROFILE_SCHEMA)
 
 
 def feature_profile(df: DataFrame, types: Mapping[str, str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge inputs, properties and brute-force comparisons."""
 
+import collections
 import math
 import random
 import statistics
@@ -93,12 +94,20 @@ def test_order_statistics_against_sorting(spark, finish_rows):
             assert found[name][t.name] == (kept[t.index(len(kept))] if kept else None), (name, t.name)
 
 
-def test_ranks_gaps_positions_many_buckets(spark):
+@pytest.mark.parametrize("bits", [12, 4])
+def test_ranks_gaps_positions_many_buckets(spark, monkeypatch, bits):
+    monkeypatch.setattr(ordering, "BUCKET_BITS", bits)
     rnd = random.Random(3)
     values = [float(rnd.randrange(400)) for _ in range(2000)] + [7.0] * 1000
     df = numbers(spark, values).repartition(6)
     for bucket_rows in (10, 400, 10**6):
         edges = ordering.bucket_edges(df, {"x": F.col("x")}, bucket_rows)["x"]
+        # few buckets at the first level: the second is used, and buckets stay small
+        assert (edges.fine is not None) == (3000 > bucket_rows * 2**bits)
+        if bucket_rows == 10:
+            distinct = df.distinct()
+            most = ordering.with_bucket(distinct, "x", edges).groupBy("bucket").count().agg(F.max("count")).first()[0]
+            assert most <= 25
         got = {r["x"]: r["rank"] for r in ordering.average_ranks(df, "x", edges).collect()}
         ordered_values = sorted(values)
         first = {}
@@ -162,6 +171,56 @@ def test_pairwise_deletion_and_minimum(spark):
     assert ops.spearman(more, "a", "b").first()["correlation"] == pytest.approx(0.5)
 
 
+def slow_spearman(rows, i, j):
+    """Mean ranks over the complete pairs, counted one by one."""
+    both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+
+    def ranks(values):
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    x, y = (ranks([b[k] for b in both]) for k in (0, 1))
+    return len(both), statistics.correlation(x, y) if len(both) >= 3 and len(set(x)) > 1 and len(set(y)) > 1 else None
+
+
+@pytest.mark.parametrize("edges", [(4095, 63), (3, 2)])
+def test_ranks_of_gappy_hot_and_tied_columns(spark, monkeypatch, edges):
+    from plumbline.operators import ranks
+
+    monkeypatch.setattr(ranks, "MOST_EDGES", edges[0])
+    monkeypatch.setattr(ranks, "FEWEST_EDGES", edges[1])
+    monkeypatch.setattr(ranks, "BLOCK", 500)
+    rnd = random.Random(5)
+    rows = []
+    for _ in range(400):
+        u = rnd.gauss(0, 1)
+        row = [u, round(u + rnd.gauss(0, 1), 1), 7.0 if rnd.random() < 0.6 else rnd.random(), float(rnd.randint(0, 3)), rnd.random() - u, 1.0, None]
+        rows.append(tuple(v if v is None or i in (0, 5) or rnd.random() < 0.8 else None for i, v in enumerate(row)))
+    names = list("abcdefg")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7)
+    got = {(r["column_x"], r["column_y"]): (r["pairs"], r["correlation"]) for r in ops.spearman_pairs(df).collect()}
+    assert len(got) == 21
+    for i, a in enumerate(names):
+        for j in range(i + 1, 7):
+            n, want = slow_spearman(rows, i, j)
+            pairs, r = got[a, names[j]]
+            assert pairs == n and (r == pytest.approx(want) if want is not None else r is None), (a, names[j])
+
+
+def test_ranks_need_as_many_shuffles_for_many_columns(spark):
+    def exchanges(k):
+        df = spark.range(5000).select(*[(F.rand(i) if i % 2 else F.when(F.rand(i) < 0.9, F.rand(i))).alias(f"c{i}") for i in range(k)])
+        plan = ops.spearman_pairs(df)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning"), plan.count("Join")
+
+    assert exchanges(3) == exchanges(12)
+
+
+def test_ranks_of_no_rows_and_no_pairs(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    assert tuple(ops.spearman(df, "a", "b").first()) == ("a", "b", 0, None)
+    assert ops.spearman_pairs(df.select("a")).count() == 0
+
+
 def test_histogram_counts_everything(spark):
     values = [math.sin(i) * 10 for i in range(1000)]
     h = ops.histogram(numbers(spark, values), ["x"], 20)
@@ -321,6 +380,43 @@ def test_progressive_has_no_repeats(sales):
     assert [r["seq"] for r in got] == list(range(1, len(got) + 1))
 
 
+def test_grouped_order_statistics(spark):
+    rnd = random.Random(8)
+    rows = [(g, rnd.choice([None, float(rnd.randrange(50)), rnd.gauss(0, 9)])) for g in ["a", "b", "", "hot"] + ["hot"] * 5 for _ in range(300)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    targets = [ordering.Target(f"p{p}", p, ordering.floor_index(p)) for p in (0.0, 0.3, 0.5, 0.999)]
+    names = ["a", "b", "", "hot", "one", "none", "absent"]
+    for finish_rows in (10**6, 3):
+        found = ordering.grouped_order_statistics(df, F.col("g"), F.col("v"), names, targets, finish_rows)
+        for name in names:
+            kept = sorted(v for g, v in rows if g == name and v is not None)
+            assert found[name]["n"] == len(kept)
+            for t in targets:
+                assert found[name][t.name] == (kept[t.index(len(kept))] if kept else None), (name, t.name)
+
+
+def test_sketched_chart_facts_agree_with_exact_ones(spark):
+    """Columns on both sides of every limit, and close to it."""
+    from plumbline.plans import profile as pr
+
+    n = 4000
+    columns = {
+        "id": [float(i) for i in range(n)], "fifth": [float(i % 800) for i in range(n)], "over": [float(i % 801) for i in range(n)], "under": [float(i % 700) for i in range(n)],
+        "skewed": [math.exp(i / 700) for i in range(n)], "flat": [5.0] * n, "rare": [1000.0 if i % 19 == 0 else float(i % 10) for i in range(n)],
+        "close": [1000.0 if i % 20 == 0 else float(i % 10) for i in range(n)], "none": [None] * n, "zero": [(-1.0) ** i for i in range(n)],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(7)
+    got = {r["column"]: r for r in pr.chart_profile(df, {c: "numeric" for c in columns}).collect()}
+    exact = {r["column"]: r for r in pr.numeric_profile(df).collect()}
+    distinct = {c: len(set(v) - {None}) for c, v in columns.items()}
+    for c, v in columns.items():
+        e, kept = exact[c], [x for x in v if x is not None]
+        assert got[c]["n"] == len(kept) and got[c]["missing"] == n - len(kept)
+        assert got[c]["is_continuous"] == (len(kept) >= 10 and distinct[c] > 0.2 * len(kept)), c
+        assert got[c]["has_outliers"] == bool(kept and e["outliers"] > 0.05 * len(kept)), c
+        assert got[c]["skewed"] == bool(kept and abs(e["mean"] - e["mid"]) > 0.2 * abs(e["mean"])), c
+
+
 def test_boxplot_forms(sales):
     b = {r["category"]: r for r in ops.boxplot(sales, "quantity", "category").collect()}
     assert (b["Garden"]["q1"], b["Garden"]["median"], b["Garden"]["q3"]) == (5, 9, 13)
@@ -408,6 +504,26 @@ def test_downsample_keeps_different_rows(spark):
         assert few.count() == few.distinct().count() == 11
 
 
+@pytest.mark.parametrize("limits", [(4_000_000, 1 << 27), (0, 1 << 27), (0, 64), (0, 1)])
+def test_duplicates_by_broadcast_filter_and_join(spark, monkeypatch, limits):
+    from plumbline.operators import duplicates
+
+    monkeypatch.setattr(duplicates, "BROADCAST_HASHES", limits[0])
+    monkeypatch.setattr(duplicates, "FILTER_BITS", limits[1])
+    monkeypatch.setattr(duplicates, "HOT_SHARE", 8)
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 7, rnd.randint(0, 200)]), rnd.choice(["a", None, "b"])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(5)
+    want = sorted(((*r, n) for r, n in collections.Counter(rows).items() if n > 1), key=str)
+    assert sorted((tuple(r) for r in ops.duplicate_groups(df).collect()), key=str) == want
+
+
+def test_rows_that_do_not_repeat_are_not_shuffled(spark):
+    df = spark.range(2000).select((F.col("id") % 1990).alias("a"), F.lit("wide").alias("b"))
+    plan = ops.duplicate_groups(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
 def test_duplicates_of_maps_and_odd_names(spark):
     df = spark.createDataFrame([({"a": 1, "b": 2}, 1), ({"b": 2, "a": 1}, 1), ({"a": 3}, 2)], "m map<string,int>, `we``ird` int")
     assert ops.duplicate_count(df).first()["duplicates"] == 1
