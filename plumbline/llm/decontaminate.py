@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are normalised to lower-case letters and digits with single blanks.  Benchmark
-items are cut into segments of ``segment`` characters, half overlapping (a shorter item
-is one segment).  A copy of a segment of n characters with at most e edits shares at
+items are cut into segments of ``segment`` characters, one every ``stride`` characters (a
+shorter item is one segment); so every passage of ``segment + stride - 1`` characters of an
+item, 79 by default, holds a whole segment and is found.  A copy of a segment of n characters with at most e edits shares at
 least ``n + 1 - q - q * e`` q-grams with it, all on diagonals no further than e apart.  So
 shared q-grams are counted in overlapping diagonal bands, two neighbouring bands of e
 diagonals at a time; regions that meet the bound are kept and verified by alignment
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import col, hidden
 
 Q = 10
-SEGMENT = 96
+SEGMENT = 64
+STRIDE = 16
 ERROR = 0.06
 #: Characters of benchmark text that one index holds, about.
 BLOCK_CHARS = 4_000_000
@@ -148,7 +150,7 @@ class Index:
         self.least = int(self.need.min()) if len(self.need) else 0
 
 
-def build(items: list[tuple[object, str]], q: int = Q, segment: int = SEGMENT, error: float = ERROR) -> Index:
+def build(items: list[tuple[object, str]], q: int = Q, segment: int = SEGMENT, error: float = ERROR, stride: int = STRIDE) -> Index:
     """The index of (item id, text) pairs."""
     segs, starts, owners, exact = [], [], [], []
     table = letters()
@@ -157,8 +159,7 @@ def build(items: list[tuple[object, str]], q: int = Q, segment: int = SEGMENT, e
         n = len(codes)
         if not n:
             continue
-        step = segment // 2
-        cuts = [0] if n <= segment else list(range(0, n - segment, step)) + [n - segment]
+        cuts = [0] if n <= segment else list(range(0, n - segment, stride)) + [n - segment]
         for s in cuts:
             part = codes[s : s + segment]
             if len(part) + 1 - q - q * int(error * len(part)) < 1:
@@ -243,21 +244,21 @@ def matches(text: str | None, index: Index, located: bool = True) -> list[tuple[
                 continue
             n, budget = len(index.segments[s]), int(index.budget[s])
             # the copy lies on diagonals of two bands, and may start and end a budget further out
-            start = max(0, d - budget)
-            stop = min(len(codes), d + 2 * (budget + 1) + n + budget)
-            window = codes[start:stop].astype(np.int64)
+            start, stop = a + d - budget, a + d + 2 * (budget + 1) + n + budget
+            window = flat[max(0, start) : max(0, stop)].astype(np.int64)
             if len(window) < n - budget:
                 continue
+            # a copy at an end of the text may lack characters there: the band goes on beyond it
+            window = np.concatenate([np.full(min(max(0, -start), stop - start), -1), window])
+            window = np.append(window, np.full(stop - start - len(window), -1))
             at = _place(window, index.segments[s])
             if at >= 0:
-                out.append((index.items[s], a + start + at, a + start + at + n, 0))
+                out.append((index.items[s], start + at, start + at + n, 0))
                 seen.add(index.items[s])
                 continue
-            if len(window) < n:
-                window = np.append(window, np.full(n - len(window), -1))
             edits, end = distance_within(index.segments[s].astype(np.int64), window, budget)
             if edits <= budget:
-                end = min(len(flat), a + start + end)
+                end = max(0, min(len(flat), start + end))
                 out.append((index.items[s], max(0, end - n), end, edits))
                 seen.add(index.items[s])
     return out
@@ -283,7 +284,7 @@ def _matcher(index: Index, kind: str):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", text: str = "text", item_text: str = "text", q: int = Q, segment: int = SEGMENT, error: float = ERROR, block_chars: int = BLOCK_CHARS, name: str = "found") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", text: str = "text", item_text: str = "text", q: int = Q, segment: int = SEGMENT, error: float = ERROR, block_chars: int = BLOCK_CHARS, name: str = "found", stride: int = STRIDE) -> DataFrame:
     """``docs`` with an array of (item, start, end, edits): the segments of benchmark items that the text holds.
 
     Positions count code points of the normalised text.  An item of the benchmark given
@@ -292,7 +293,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "item_id", text: str
     kind = f"array<struct<item:{benchmark.schema[key].dataType.simpleString()},start:long,end:long,edits:long>>"
     out, made = docs, []
     for items in _blocks(benchmark, key, item_text, block_chars):
-        index = build(items, q, segment, error)  # block_chars bounds what the tasks get
+        index = build(items, q, segment, error, stride)  # block_chars bounds what the tasks get
         made.append(hidden(out, f"_block{len(made)}"))
         out = out.withColumn(made[-1], _matcher(index, kind)(col(text).cast("string")))
     found = F.concat(*[F.col(m) for m in made])

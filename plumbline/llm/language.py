@@ -17,11 +17,11 @@ order, is chosen.  Without any sample every text is ``und``.  An empty table giv
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ DOUBT, STRONG = 0.05, 12
 #: Share of bytes that the best dictionary must save against the next.
 MARGIN = 0.02
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters(text: str) -> bytes:

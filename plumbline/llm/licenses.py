@@ -55,7 +55,36 @@ APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+_BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+BSD_2 = _BSD_HEAD + _BSD_TAIL
+BSD_3 = _BSD_HEAD + _BSD_NAMES + _BSD_TAIL
+ZERO_BSD = ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
 KNOWN = (
+    ("BSD-2-Clause", BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_2),
+    ("BSD-3-Clause", BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3),
+    ("0BSD", ZERO_BSD),
+    ("Unlicense", UNLICENSE),
     ("MIT", MIT),
     ("MIT", "MIT License\n" + MIT),
     ("MIT", "The MIT License (MIT)\n" + MIT),
@@ -80,8 +109,15 @@ KNOWN = (
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 
-#: A line that states a copyright, and nothing else.
-COPYRIGHT_LINE = r"(?md)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved|portions copyright)[^\n]*$"
+# Words after "copyright" in the running text of licences, where no holder is named.
+NOT_HOLDERS = ("notice", "notices", "holder", "holders", "owner", "owners", "law", "laws", "statement", "statements", "license", "licenses", "licence", "licences", "interest", "interests", "protection", "and", "or", "in", "is", "to", "as", "are")
+
+#: A line that states a copyright, and nothing else: a sign, or the word and then a year or a holder.
+COPYRIGHT_LINE = (
+    r"(?md)^[^\p{L}\p{N}\n]*(?:\(c\)|©|all rights reserved|(?:portions )?copyrights?[^\p{L}\p{N}\n]+(?!(?:"
+    + "|".join(NOT_HOLDERS)
+    + r")(?![\p{L}\p{N}]))[\p{L}\p{N}])[^\n]*$"
+)
 
 
 def canonical(text: Column) -> Column:

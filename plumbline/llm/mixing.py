@@ -15,7 +15,8 @@ tasks: they are cut by hash into chunks whose sums tell where the seeded choice
 and only the chunk that holds the end is put in order.
 
 Nulls: a null text has no words, a null source is a source of its own, the last.
-Repeated rows count each.  Sources without words, and an empty table, get nothing.
+Repeated rows count each.  Sources without words, and an empty table, get nothing.  Texts
+are only counted, so long ones need no memory.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def words_in(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights, size: Column, sources: Column, seed: int = 42, epochs: int = EPOCHS, max_nodes: int = MAX_NODES, chunks: int | None = None, key: list[Column] | None = None) -> DataFrame:
-    """``docs`` with ``size``, ``sources``, ``source_sizes``, ``targets`` and ``taken``.
+    """``docs`` with ``size``, ``sources``, ``source_sizes``, ``targets`` and ``taken``; columns of these names are replaced.
 
     ``sources`` is an array column, the row's memberships; ``source_sizes`` and ``targets``
     follow its order.  ``weights`` is a dict by source, or makes one of the list of
@@ -136,7 +137,8 @@ def mix(docs: DataFrame, weights, size: Column, sources: Column, seed: int = 42,
     included: at most ``epochs`` times its size.  ``key`` seeds the choice and orders rows
     of equal hash; by default it is the whole row.
     """
-    z, s, h, c = (hidden(docs, x) for x in ("_size", "_sources", "_hash", "_chunk"))
+    results = ("size", "sources", "source_sizes", "targets", "taken")
+    z, s, h, c, pattern, plan_, more = (hidden(docs, x) for x in ("_size", "_sources", "_hash", "_chunk", "_pattern", "_plan", "_more"))
     rows = docs.withColumns({z: size, s: F.array_sort(F.array_distinct(sources))})
     order = key or [col(x) for x in docs.columns]
     rows = rows.withColumn(h, F.xxhash64(F.lit(seed), *order))
@@ -170,20 +172,23 @@ def mix(docs: DataFrame, weights, size: Column, sources: Column, seed: int = 42,
     ends = by_chunk.withColumn("before", run).join(F.broadcast(known), F.col(s).eqNullSafe(F.col("p")))
     ends = ends.where("before <= rest and rest < before + words").select("p", F.col(c).alias("cut"), "before")
     plan = cut(known.join(ends, "p", "left"))  # a row per pattern
-    rows = rows.join(F.broadcast(plan), F.col(s).eqNullSafe(F.col("p"))).drop("p")
-    passed = F.col(c) < F.coalesce("cut", F.lit(0))
-    plain = rows.where(F.col("cut").isNull() | (F.col(c) != F.col("cut"))).withColumn("more", F.when(passed, F.col(z)).otherwise(0))
-    last = rows.where(F.col(c) == F.col("cut"))
-    before = F.sum(z).over(Window.partitionBy(s).orderBy(h, *order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(z) + F.col("before")
-    last = last.withColumn("more", F.greatest(F.lit(0), F.least(F.col(z), F.col("rest") - before)))
+    # one column of the plan's fields, so that none meets a column of the caller's
+    plan = plan.select(F.col("p").alias(pattern), F.struct("full", "rest", "source_sizes", "targets", "cut", "before").alias(plan_))
+    rows = rows.join(F.broadcast(plan), F.col(s).eqNullSafe(F.col(pattern))).drop(pattern)
+    end, rest, begun = (F.col(f"{plan_}.{x}") for x in ("cut", "rest", "before"))
+    passed = F.col(c) < F.coalesce(end, F.lit(0))
+    plain = rows.where(end.isNull() | (F.col(c) != end)).withColumn(more, F.when(passed, F.col(z)).otherwise(0))
+    last = rows.where(F.col(c) == end)
+    before = F.sum(z).over(Window.partitionBy(s).orderBy(h, *order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(z) + begun
+    last = last.withColumn(more, F.greatest(F.lit(0), F.least(F.col(z), rest - before)))
     both = plain.unionByName(last)
     return both.select(
-        *[col(x) for x in docs.columns],
+        *[col(x) for x in docs.columns if x.lower() not in results],
         F.col(z).alias("size"),
         F.col(s).alias("sources"),
-        F.col("source_sizes"),
-        F.col("targets"),
-        (F.col("full") * F.col(z) + F.col("more")).cast("long").alias("taken"),
+        F.col(f"{plan_}.source_sizes").alias("source_sizes"),
+        F.col(f"{plan_}.targets").alias("targets"),
+        (F.col(f"{plan_}.full") * F.col(z) + F.col(more)).cast("long").alias("taken"),
     )
 
 

@@ -152,6 +152,11 @@ def scan_list(model: Model, ids: list, cands: np.ndarray, queries: np.ndarray, f
     return out
 
 
+def _typed(rows: list[tuple[str, float, int]]) -> pd.DataFrame:
+    """(h, score, id) rows; a block without any has the same types, which Arrow needs."""
+    return pd.DataFrame(rows, columns=["h", "score", "id"]).astype({"h": object, "score": float, "id": "int64"})
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", recall: float = RECALL, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for each row for which ``is_query`` holds.
 
@@ -211,10 +216,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             isq = part["ids"].isna()
             c, q = part[~isq].sort_values("h"), part[isq].sort_values("h")
             if not len(c) or not len(q):
-                return pd.DataFrame({"h": [], "score": [], "id": []})
+                return _typed([])
             found = scan_list(model, c["ids"].tolist(), np.array(c["v"].tolist()), np.array(q["v"].tolist()), q["floor"].to_numpy(float), k + 1)
             names = q["h"].tolist()
-            return pd.DataFrame({"h": [names[i] for i, _, _ in found], "score": [s for _, s, _ in found], "id": [x for _, _, x in found]})
+            return _typed([(names[i], s, x) for i, s, x in found])
 
         return cands.union(asks).groupBy("list", "part", "turn").applyInPandas(run, "h string, score double, id long")
 

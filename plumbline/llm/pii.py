@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -95,6 +96,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # -- the conditional random field ---------------------------------------------------
 
+_BLANK = re.compile(r"[ \n]")
 _TOKEN = re.compile(r"[^\s=:|,;\"'<>{}]+|[=:|,;\"'<>{}]")
 _TRIGGER = re.compile(r"[0-9@]|\b(?:token|password|passwd|secret|api[_-]?key)\b|[\[(]at[\])]", re.I)
 _AT = re.compile(r"@|[\[(]at[\])]", re.I)
@@ -146,23 +148,16 @@ def token_features(tokens: list[str]) -> list[list[str]]:
 def windows(text: str) -> list[list[tuple[int, int]]]:
     """Token spans within ``REACH`` tokens of a trigger, neighbouring windows joined."""
     out: list[list[tuple[int, int]]] = []
-    end = 0
+    end, blanks = 0, None
     for m in _TRIGGER.finditer(text):
         if m.start() < end:
             continue
-        # the tokens before: cut from a stretch that is sure to hold enough of them, or whole words
-        a = m.start()
-        for _ in range(REACH + 1):
-            a = max(text.rfind(" ", 0, a), text.rfind("\n", 0, a))
-            if a <= 0:
-                a = 0
-                break
-        b = m.end()
-        for _ in range(REACH + 1):
-            nxt = [x for x in (text.find(" ", b + 1), text.find("\n", b + 1)) if x >= 0]
-            b = min(nxt) if nxt else len(text)
-            if b == len(text):
-                break
+        # REACH tokens before and behind, counted by the blanks and line ends between them
+        if blanks is None:
+            blanks = [x.start() for x in _BLANK.finditer(text)]
+        i, j = bisect_left(blanks, m.start()) - REACH - 1, bisect_right(blanks, m.end()) + REACH
+        a = blanks[i] if i >= 0 else 0
+        b = blanks[j] if j < len(blanks) else len(text)
         spans = [t.span() for t in _TOKEN.finditer(text, max(a, end), b)]
         if out and a <= end:
             out[-1] += spans

@@ -105,7 +105,15 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op11_merkle_manifest, op12_filter_audit, op13_first_copies,
 )}
 
-_SPELLED = "' ' || regexp_replace(regexp_replace(replace(replace(lower(coalesce({0}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^[^\\p{{L}}\\p{{N}}\\n]*(?:copyright|\\(c\\)|©|all rights reserved|portions copyright)[^\\n]*$', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
+# a line goes if it opens with a sign or a reservation, or if the word after its "copyright" names someone or a year
+_NEXT_WORD = r"regexp_extract(x, '^[^\p{L}\p{N}]*(?:portions )?copyrights?[^\p{L}\p{N}]+([\p{L}\p{N}]+)', 1)"
+_STATES = (
+    r"regexp_matches(x, '^[^\p{L}\p{N}]*(\(c\)|©|all rights reserved)') or (" + _NEXT_WORD + " <> '' and " + _NEXT_WORD
+    + " not in ('notice', 'notices', 'holder', 'holders', 'owner', 'owners', 'law', 'laws', 'statement', 'statements', 'license', 'licenses', 'licence', 'licences', "
+    "'interest', 'interests', 'protection', 'and', 'or', 'in', 'is', 'to', 'as', 'are'))"
+)
+_LINES = "string_split(replace(replace(lower(coalesce({0}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+_SPELLED = "' ' || regexp_replace(array_to_string(list_transform(" + _LINES + ", lambda x: case when " + _STATES.replace("{", "{{").replace("}", "}}") + " then ' ' else x end), chr(10)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '"
 
 
 def _canonical(x: str) -> str:

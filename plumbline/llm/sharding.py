@@ -101,27 +101,27 @@ def assign_groups(groups: DataFrame, shards: int, fan_in: int = FAN_IN) -> DataF
 
 
 def shard_rows(docs: DataFrame, shards: int, size: Column, group: Column, order: list[Column], fan_in: int = FAN_IN) -> DataFrame:
-    """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 within the shard).
+    """``docs`` with ``shard`` (0 to ``shards - 1``) and ``slot`` (gapless from 0 within the shard); columns of these names are replaced.
 
     ``size`` is the long size of a row, ``group`` a string that only rows of one group
     share, ``order`` the columns that order rows within a slot range.
     """
-    g, s, c = (hidden(docs, x) for x in ("_group", "_size", "_chunk"))
+    g, s, c, pile, n, at, begin = (hidden(docs, x) for x in ("_group", "_size", "_chunk", "_pile", "_n", "_at", "_begin"))
     rows = docs.withColumns({g: group, s: size})
     groups = rows.groupBy(F.col(g).alias("id")).agg(F.sum(s).alias("size"))
-    placed = assign_groups(groups, shards, fan_in).withColumnRenamed("id", g)
+    placed = assign_groups(groups, shards, fan_in).select(F.col("id").alias(g), F.col("shard").alias(pile))
     rows = rows.join(placed, g)
     # slots: rows of a shard are cut by hash into ranges, whose counts give the ranges' offsets;
     # about as many ranges as a range has rows
     chunks = max(1, math.isqrt(docs.count() // shards))
     rows = rows.withColumn(c, F.pmod(F.xxhash64(*order), F.lit(chunks)).cast("int"))
-    counts = rows.groupBy("shard", c).count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("shard").alias("_s"), F.col(c).alias("_c"), before.alias("_before"))
-    within = F.row_number().over(Window.partitionBy("shard", c).orderBy(*order))
-    rows = rows.withColumn("_n", within)
-    joined = rows.join(offsets, (F.col("shard") == F.col("_s")) & (F.col(c) == F.col("_c")))
-    return joined.select(*[col(x) for x in docs.columns], "shard", (F.col("_before") + F.col("_n") - 1).alias("slot"))
+    counts = rows.groupBy(pile, c).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(pile).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(pile, c, before.alias(begin))
+    within = F.row_number().over(Window.partitionBy(pile, c).orderBy(*order))
+    joined = rows.withColumn(at, within).join(offsets, [pile, c])
+    keep = [col(x) for x in docs.columns if x.lower() not in ("shard", "slot")]
+    return joined.select(*keep, F.col(pile).alias("shard"), (F.col(begin) + F.col(at) - 1).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", fan_in: int = FAN_IN) -> DataFrame:

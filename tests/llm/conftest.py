@@ -16,7 +16,7 @@ def make(spark):
         rows = [tuple(r) + (None,) * (4 - len(r)) for r in rows]
         df = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], SCHEMA)
         if clash:
-            for c in ("score", "size", "_h", "_p", "k", "t", "c", "v", "_made", "_size", "_copies", "shard", "slot", "found", "Digest", "a.b", "we`ird"):
+            for c in ("score", "size", "_h", "_p", "k", "t", "c", "v", "_made", "_size", "_copies", "shard", "slot", "found", "Digest", "p", "rest", "before", "full", "cut", "targets", "taken", "more", "a.b", "we`ird"):
                 df = df.withColumn(c, F.lit("x"))
         return df
 

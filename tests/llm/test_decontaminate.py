@@ -80,6 +80,31 @@ def test_case_marks_and_short_items(rnd):
     assert {m[0] for m in dec.matches("İ " + text, index)} == {2}
 
 
+def test_copies_at_the_ends_of_a_text(rnd):
+    """Edited items that are the whole text, its start or its end, characters missing at the outer side included."""
+    for trial in range(120):
+        item = words(rnd, 30)[: rnd.randrange(30, 90)].strip()
+        index = dec.build([(5, item)], stride=1000)
+        copy = edited(rnd, item, rnd.randrange(5))
+        copy = [copy, copy[1:], copy[:-1], item[2:], item[:-2], item[: len(item) // 2] + item[len(item) // 2 + 1 :]][trial % 6]
+        text = [copy, copy + " " + words(rnd, 8), words(rnd, 8) + " " + copy][trial // 6 % 3]
+        flat = dec.plain(text, TABLE)
+        want = any(slow_best("".join(map(chr, part)), flat) <= b for part, b in zip(index.segments, index.budget))
+        assert bool(dec.matches(text, index)) is want, (item, text)
+
+
+def test_every_passage_of_the_stated_length_is_found(rnd):
+    item = words(rnd, 70)
+    index = dec.build([(5, item)])
+    flat = dec.plain(item, TABLE)
+    length = dec.SEGMENT + dec.STRIDE - 1
+    for a in range(0, len(flat) - length):
+        passage = flat[a : a + length]
+        # a blank at an end is lost with the marks around it
+        if passage == passage.strip():
+            assert dec.matches(f"{words(rnd, 3)} {passage} {words(rnd, 3)}", index)
+
+
 def test_normal_form():
     assert dec.plain("  Ab--c\nÉ! ", TABLE) == "ab c é"
     assert dec.plain("", TABLE) == "" and dec.plain("...", TABLE) == ""

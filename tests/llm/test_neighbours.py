@@ -44,6 +44,20 @@ def test_recall_and_scores_of_the_query(spark):
     assert hits / total >= 0.93
 
 
+def test_split_lists(spark, monkeypatch):
+    """Lists cut into many blocks, some of which hold no query or no candidate."""
+    monkeypatch.setattr(neighbours, "LIST_BLOCK", 8)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((240, 5)).astype(np.float32)
+    v[:120] = v[:120] * 0.01 + v[0]  # a third and more in one place
+    rows = [(i, v[i].tolist()) for i in range(240)]
+    got = found(neighbours.search(spark.createDataFrame(rows, KIND), F.col("vec_id") % 6 == 0, k=5, recall=1.0))
+    want = brute(rows, lambda q: q % 6 == 0, 5)
+    assert {q: len(x) for q, x in got.items()} == {q: 5 for q in want}
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
 def test_all_lists_probed_is_exact_with_ties_and_norms(spark):
     rng = np.random.default_rng(5)
     v = np.round(rng.standard_normal((300, 6)), 1).astype(np.float32) * rng.integers(1, 5, (300, 1)).astype(np.float32)

@@ -1,3 +1,4 @@
+import timeit
 import hashlib
 import re
 
@@ -42,6 +43,21 @@ def crf(spark):
     return pii.train(pii.labelled_table(spark))
 
 
+def test_windows_of_long_texts_take_linear_time():
+    """Triggers far apart in a text without line ends, and one without any blank."""
+    for unit in ("plain words and 17 more words here " * 40, "x" * 700 + "7"):
+        took = []
+        for times in (200, 800):
+            text = unit * times
+            took.append(min(timeit.repeat(lambda: pii.windows(text), number=1, repeat=2)))
+        assert took[1] < 4 * 3 * took[0] + 0.05
+
+
+def test_windows_reach_over_blanks_and_line_ends():
+    text = "a b c d e f 7 g\nh i\nj k l m"
+    assert [[text[a:b] for a, b in w] for w in pii.windows(text)] == [["c", "d", "e", "f", "7", "g", "h", "i", "j", "k"]]
+
+
 def test_viterbi_is_the_best_of_all_paths(crf):
     rng = np.random.default_rng(3)
     small = rng.standard_normal((2, len(pii.LABELS))) * 3

@@ -70,5 +70,15 @@ def test_empty_documents_with_nulls(spark, sf, make):
             assert df.count() >= 0
 
 
+def test_columns_with_names_that_operators_use(spark, sf, docs):
+    names = "p rest before full cut size sources targets source_sizes taken more shard slot _s _n _before c k h found score".split()
+    df = docs.withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, sf)
+        assert df.columns == docs.columns + names
+    assert df.where(" and ".join(f"{n} = '{n}'" for n in names)).count() == df.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() == df.count()
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).where(F.col("slot") < 0).count() == 0

@@ -1,5 +1,6 @@
 """Licences, languages, URLs and toxicity."""
 
+import textwrap
 import zlib
 
 import pytest
@@ -23,15 +24,28 @@ def test_licenses(make, spark):
     df = make(rows)
     out = licenses.scan(df, licenses.registry(spark))
     assert [c for c in df.columns if c != "Digest"] == out.columns[:-3]
-    got = sorted((str(r["doc_id"]), r["license_id"], ",".join(r["line_licenses"])) for r in out.collect())
+    got = sorted(((str(r["doc_id"]), r["license_id"], ",".join(r["line_licenses"])) for r in out.collect()), key=str)
     assert got == sorted(
         [("1", "MIT", ""), ("2", None, "MIT"), ("2", None, "MIT"), ("3", None, ""), ("4", None, ""), ("5", None, ""), ("6", None, ""), ("8", None, ""), ("None", None, "CC-BY-NC-4.0,GPL-3.0-only")],
         key=str,
-    ) or {g[0]: g[1:] for g in got} == {"1": ("MIT", ""), "2": (None, "MIT"), "3": (None, ""), "4": (None, ""), "5": (None, ""), "6": (None, ""), "8": (None, ""), "None": (None, "CC-BY-NC-4.0,GPL-3.0-only")}
+    )
     assert licenses.scan(make([]), licenses.registry(spark)).count() == 0
     assert licenses.scan(df, licenses.registry(spark), lines=False).where("size(line_licenses) > 0").count() == 0
 
 
+def test_licenses_wrapped_at_any_width(make, spark):
+    full = {"MIT": licenses.MIT, "ISC": licenses.ISC, "BSD-2-Clause": licenses.BSD_2, "BSD-3-Clause": licenses.BSD_3, "0BSD": licenses.ZERO_BSD, "Unlicense": licenses.UNLICENSE, "Apache-2.0": licenses.APACHE_NOTICE}
+    heads = ["", "Copyright (c) 2020 Some One\n", "© Some One, all rights reserved\n", "Copyright 1999-2004 Some One <a@b.org>\nPortions copyright Another\n"]
+    rows, want = [], {}
+    for width in range(30, 100):
+        for name, text in full.items():
+            wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+            want[len(rows)] = name
+            rows.append((len(rows), heads[len(rows) % len(heads)] + wrapped))
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(make(rows), licenses.registry(spark), lines=False).collect()}
+    assert got == want
+
+
 # -- languages -----------------------------------------------------------------------
 
 
@@ -53,6 +67,8 @@ def test_language_edges(make):
     assert [c for c in df.columns if c != "score"] == out.columns[:-4]
     got = sorted((str(r["doc_id"]), r["lang_pred"]) for r in out.collect())
     assert [g for g in got if g[0] != "5"] == [("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("4", "en"), ("6", "en"), ("None", "de")]
+    numerals = {r["lang_pred"] for r in language.identify(make([(1, "²"), (2, "½ Ⅷ"), (3, "٣ _")]), model, margin=None).collect()}
+    assert numerals == {"und"}
     strict = {str(r["doc_id"]): (r["lang_pred"], r["narrow"]) for r in language.identify(df, model).collect()}
     assert strict["5"] == ("und", True) and strict["4"] == ("en", False)
     assert language.identify(make([]), model).count() == 0
