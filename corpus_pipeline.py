@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, mixing, sharding, simhash, toxicity
-from plumbline.llm.common import hidden, scratch_path, table
+from plumbline.llm.common import col, hidden, scratch_path, table
 
 WEIGHTS = (5, 2, 1)
 SHARDS = 8
@@ -35,11 +35,12 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in whole copies; those it does not take go."""
-    size, copies = hidden(docs, "_words"), hidden(docs, "_copies")
-    rows = docs.withColumn(size, mixing.words_in(F.col("text")))
-    out = mixing.mix(rows, mixing.cycle(WEIGHTS), F.col(size), F.array("source"), key=[F.col("doc_id"), F.xxhash64("text"), F.col("source")])
-    out = out.withColumn(copies, mixing.copies(F.col("taken"), F.col(size))).where(F.col(copies) > 0)
-    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    # the rows travel as one column, whatever the names of theirs
+    row = F.struct(*[col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(row, "doc_id", "source", F.xxhash64("text").alias("mark"), mixing.words_in(F.col("text")).alias("words"))
+    out = mixing.mix(rows, mixing.cycle(WEIGHTS), F.col("words"), F.array("source"), key=[F.col("doc_id"), F.col("mark"), F.col("source")])
+    out = out.select("row", mixing.copies(F.col("taken"), F.col("size")).alias("copies")).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
