@@ -25,7 +25,7 @@ from plumbline.operators.duplicates import duplicate_count
 from plumbline.operators.infer import first_rows, type_map
 from plumbline.operators.quantiles import outside, quartile_table
 from plumbline.operators.rules import DEFAULT, Rules
-from plumbline.shared import cut
+from plumbline.shared import cut, spread
 
 ISSUE_SCHEMA = (
     "category string, kind string, column string, type string, severity string, "
@@ -572,6 +572,7 @@ def issues(
     ``order_by`` says which rows the first-rows rules look at; without it they look at all.
     ``numeric`` names the columns checked for outliers, found by the ``accuracy`` policy if absent.
     """
+    df = spread(df)
     if numeric is None:
         numeric = [n for n, t in type_map(df, "accuracy", order_by).items() if t == "numeric"]
     early = diagnosis_checks(df, rule)

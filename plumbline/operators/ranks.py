@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import BUCKET_SKETCH_K, sketched_quantiles
+from plumbline.operators.ordering import SKETCH_K, sketched_quantiles
+from plumbline.shared import spread
 
 # Cut points per column, fewer where columns and missing columns are many: their counts pass through the driver.
 MOST_EDGES = 4095
@@ -41,7 +42,7 @@ def rank_sums(df: DataFrame, values: Mapping[str, Column], pairs: Sequence[tuple
     ``pair`` is the number of the pair in ``pairs``; a pair without complete rows has none.
     """
     names = list(values)
-    source = df.select(*[values[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    source = spread(df.select(*[values[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)]))
     edges, gappy, slots = _cut_points(source, len(names))
     counts = _slot_counts(source, edges, gappy, slots)
     at = {n: i for i, n in enumerate(names)}
@@ -67,7 +68,7 @@ def _cut_points(source: DataFrame, columns: int) -> tuple[list[np.ndarray], list
     for n in names:
         most = max(FEWEST_EDGES, min(MOST_EDGES, COUNTED // (2 * columns * columns)))
         wanted[n] = [(i + 1) / (most + 1) for i in range(most)]
-    found = sketched_quantiles(source, read, wanted | {every: [0.5]}, BUCKET_SKETCH_K)
+    found = sketched_quantiles(source, read, wanted | {every: [0.5]}, SKETCH_K)
     rows = found[every][0]
     edges = [np.array(sorted(set(found[n][3])), float) for n in names]
     gappy = [i for i, n in enumerate(names) if found[n][0] < rows]

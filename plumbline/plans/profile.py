@@ -15,6 +15,7 @@ from plumbline.operators.infer import default_aggregates, default_type, type_map
 from plumbline.operators.ordering import doubles_sql
 from plumbline.operators.quantiles import quartile_profile
 from plumbline.operators.summary import moments
+from plumbline.shared import spread
 
 TEMPORAL = ("temporal", "date")
 
@@ -40,8 +41,8 @@ def numeric_histograms(df: DataFrame, columns=None, bins: int = 10) -> DataFrame
 
 # Sketches answer a yes or no only where it holds this far to both sides: shares of rows, and of distinct values.
 RANK_MARGIN = 0.003
-DISTINCT_ERROR = 0.01
-DISTINCT_MARGIN = 5 * DISTINCT_ERROR
+DISTINCT_LG_K = 14  # a standard error below 0.01
+DISTINCT_MARGIN = 0.05
 # Fewer distinct values than this are counted exactly.
 FEW_VALUES = 1000
 SKETCH_K = 4096
@@ -54,6 +55,7 @@ def _column_facts(df: DataFrame, names: list[str]) -> dict[str, dict]:
     ``q`` holds the approximate quantiles at ``LADDER`` equal steps.
     """
     shares = F.expr(doubles_sql([i / LADDER for i in range(LADDER + 1)]))
+    distinct = lambda v: F.hll_sketch_estimate(F.hll_sketch_agg(F.when(v.isNotNull(), F.xxhash64(v)), F.lit(DISTINCT_LG_K)))
     sketch = lambda c: F.call_function("kll_sketch_agg_double", c.number(), F.lit(SKETCH_K))
 
     def aggregates(c):
@@ -61,8 +63,8 @@ def _column_facts(df: DataFrame, names: list[str]) -> dict[str, dict]:
             "n": F.count(c.number()),
             "sum": F.coalesce(F.sum(c.number()), F.lit(0.0)),
             "mean": F.avg(c.number()),
-            "values": F.approx_count_distinct(c.number(), DISTINCT_ERROR),
-            "texts": F.approx_count_distinct(c.text(), DISTINCT_ERROR),
+            "values": distinct(c.number()),
+            "texts": distinct(c.text()),
             "q": F.when(F.count(c.number()) > 0, F.call_function("kll_sketch_get_quantile_double", sketch(c), shares)),
         }
 
@@ -113,6 +115,7 @@ def chart_profile(df: DataFrame, types: Mapping[str, str] | None = None) -> Data
     exactly.  ``distinct`` and larger cardinalities are estimates where nothing depends on
     the exact number.
     """
+    df = spread(df)
     facts = _column_facts(df, list(types) if types else df.columns)
     types = dict(types or {c: f["type"] for c, f in facts.items()})
     numeric, categorical = _named(types, "numeric"), _named(types, "categorical")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/plumbline-{uuid.uuid4().hex}/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` itself, or dealt out to all cores where its scan has fewer partitions than there are cores.
+
+    For costly expressions over small files, whose row groups are not split.  Tables of many
+    files, and results of shuffles, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # asking a plan with shuffles for its partitions would run them
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, F.monotonically_increasing_id())
