@@ -974,12 +974,12 @@ def _quality() -> None:
             f"(select count(*) filter ({cond}) as affected, count(*) filter ({cond}) * 100.0::double / {whole} as p from {HEALTH_SQL}) where affected > 0"
         )
 
-    def outlier_issue(c):
+    def outlier_issue(c, steps=SQL_LADDERS["outlier"], reach=1.5):
         src = ordered(HEALTH_SQL, (c,))
-        cond = "v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)"
+        cond = f"v < q1 - {reach} * (q3 - q1) or v > q3 + {reach} * (q3 - q1)"
         return (
-            f"select 'Accuracy' as category, 'issue' as kind, '{c}' as \"column\", case when p > 10 then 'extreme_outliers' else 'outliers' end as type, "
-            f"{ladder_sql(SQL_LADDERS['outlier'])}, affected, {r('p')} as pct from (select count(*) filter ({cond}) as affected, count(*) filter ({cond}) * 100.0::double / count(*) as p "
+            f"select 'Accuracy' as category, 'issue' as kind, '{c}' as \"column\", case when p > {steps[0][0]} then 'extreme_outliers' else 'outliers' end as type, "
+            f"{ladder_sql(steps)}, affected, {r('p')} as pct from (select count(*) filter ({cond}) as affected, count(*) filter ({cond}) * 100.0::double / count(*) as p "
             f"from {cells_sql(HEALTH_SQL, (c,))}, (select {at(0.25)} as q1, {at(0.75)} as q3 from {src})) where affected > 0"
         )
 
@@ -1015,6 +1015,42 @@ def _quality() -> None:
     report_sql = "(" + " union all ".join(report) + ")"
     issues_sql = f"select category, kind, \"column\", type, severity, affected, pct, deduction from {report_sql} where severity is not null"
     register("quality_issues", lambda sp, d: rounded(health_issues(sp, d).select(*wide_found)), issues_sql)
+    # other thresholds, ranges and deductions than the default ones
+    own = {
+        "missing": ((15.0, "critical", 7), (1.0, "minor", 3)),
+        "outlier": ((30.0, "major", 9), (1.0, "minor", 4)),
+        "health": ((0.0, "critical", 8),),
+        "any_major": ((1.5, "major", 6), (0.0, "minor", 2)),
+    }
+    custom = ops.Rules(
+        missing=own["missing"], outliers=own["outlier"], health=own["health"], any_major=own["any_major"], fence=3.0, share_limit=250.0,
+        measurements=(ops.Measurement("Cholesterol", 4.0, 100.0, ("cholesterol",)), ops.Measurement("Heart_Rate", 65.0, 310.0, ("heart_rate",))),
+        person_ranges=(ops.Measurement("BMI", 22.0, 80.0, ("BMI",)),), states=("NSW", "Oregon"), state_count=3, state_deductions=(5, 4),
+        ages=((4, "warning", "minor", 3),), duplicates=((0.0, "minor", 1),), year_deduction=6, unit_value_limit=1000.0, diagnoses=((5.0, "minor", 2),),
+        any_minor=((50.0, "minor", 9),), units=(), incomplete_share=0.05, incomplete=((0.0, "major", 11),),
+    )
+    own_in = "lower(v) in ('nsw', 'oregon')"
+    custom_rows = [
+        *[counted("Completeness", "issue", f"'{c}'", "missing_values", e, own["missing"]) for c, e in zip(all_cols, nulls)],
+        counted("Completeness", "issue", "null", "incomplete_rows", " + ".join(f"{e}::int" for e in nulls) + f" > {len(all_cols)} * 0.05", ((0.0, "major", 11),)),
+        counted("Consistency", "issue", "'heart_rate'", "logical_inconsistency", "heart_rate > 250", own["any_major"]),
+        *[outlier_issue(c, own["outlier"], 3.0) for c in ("Age", "BMI", "total_cholesterol", "systolic_bp", "heart_rate", "Postcode", "weight_lbs", "Year")],
+        counted("Accuracy", "issue", "'BMI'", "unrealistic_values", '"BMI" < 22 or "BMI" > 80', own["any_major"]),
+        counted("Validity", "issue", "'total_cholesterol'", "invalid_health_measurement", "total_cholesterol < 4 or total_cholesterol > 100", own["health"]),
+        counted("Validity", "issue", "'heart_rate'", "invalid_health_measurement", "heart_rate < 65 or heart_rate > 310", own["health"]),
+        counted("Validity", "issue", "'Postcode'", "invalid_format", "not regexp_matches(\"Postcode\", '^\\d{4}$')", ((50.0, "minor", 9),)),
+        counted("Australian Context", "warning", "'diagnosis'", "non_standard_classification", "not regexp_matches(diagnosis, '^[A-Z]\\d\\d(\\.\\d)?$')", ((5.0, "minor", 2),)),
+        f"select 'Consistency', 'issue', null, 'duplicate_rows', {ladder_sql(((0.0, 'minor', 1),))}, affected, {r('p')} from (select affected, affected * 100.0::double / n as p from {dup_n}) where affected > 0",
+        f"select 'Consistency', 'warning', 'Year', 'chronological_gaps', 'minor', 6, count(*), null::double from (select y, lag(y) over (order by y) as p from (select distinct \"Year\" as y from {HEALTH_SQL})) where y > p + 1 having count(*) > 0",
+        "select 'Timeliness', 'warning', \"column\", 'outdated_data', 'minor', 3, null::bigint, null::double from (" + aged("Year", '"Year"') + " union all " + aged("o_orderdate", "year(o_orderdate)") + ") where age > 4",
+        f"select 'Australian Context', 'warning', 'State', 'non_australian_states', 'minor', 5, n, null::double from (select count(*) filter (not {own_in}) as n from {state_values}) where n > 0",
+        f"select 'Australian Context', 'warning', 'State', 'incomplete_state_coverage', 'minor', 4, n, null::double from (select count(*) filter ({own_in}) as n from {state_values}) where n between 1 and 2",
+    ]
+    register(
+        "quality_custom_rules",
+        lambda sp, d: rounded(ops.issues(health(sp, d), AS_OF, rule=custom).select(*wide_found)),
+        f"select category, kind, \"column\", type, severity, affected, pct, deduction from ({' union all '.join(custom_rows)}) where severity is not null",
+    )
     score = (
         f"select (select count(*) from orders) as total_records, {len(all_cols)} as total_columns, "
         + ", ".join(f"count(*) filter (kind = 'issue' and severity = '{x}') as {x}_issues" for x in ("critical", "major", "minor"))
@@ -1071,6 +1107,16 @@ def _reconcile() -> None:
         lambda sp, d: ops.reconcile(table(sp, d, "documents"), table(sp, d, "labels"), ["doc_id"]),
         rec_sql("documents", "doc_id", "labels", "doc_id", "doc_id"),
     )
+    # keys with nulls on both sides, in one column of two
+    left = {"a": "case when o_orderkey % 5 = 0 then null else o_orderkey % 40 end", "b": "o_orderstatus"}
+    right = {"a": "case when o_orderkey % 7 = 0 then null else o_orderkey % 50 end", "b": "case when o_orderkey % 3 = 0 then null else o_orderstatus end"}
+    register(
+        "reconcile_null_keys",
+        lambda sp, d: ops.reconcile(derived(table(sp, d, "orders"), left), derived(table(sp, d, "orders"), right), ["a", "b"]),
+        f"with l as (select a, b, count(*) as n from {derived_sql('orders', left)} group by a, b), r as (select a, b, count(*) as n from {derived_sql('orders', right)} group by a, b) "
+        "select * from (select coalesce(l.a, r.a) as a, coalesce(l.b, r.b) as b, coalesce(l.n, 0) as left_count, coalesce(r.n, 0) as right_count, case when r.n is null then 'missing' "
+        "when l.n is null then 'orphaned' when l.n <> r.n then 'mismatch' end as finding from l full join r on l.a is not distinct from r.a and l.b is not distinct from r.b) where finding is not null",
+    )
     register(
         "reconcile_summary",
         lambda sp, d: ops.reconcile_summary(
@@ -1159,6 +1205,18 @@ def _parsing() -> None:
 
 
 def _types() -> None:
+    nested = {
+        "s": "struct(l_orderkey as k, struct(l_shipdate as d, l_returnflag as f, nullif(l_tax, l_tax) as none) as inner)",
+        "list": "array(l_tax)", "pairs": "map(l_returnflag, l_tax)", "flag": "l_quantity > 5", "l_quantity": "l_quantity",
+    }
+    kind = lambda c: f"case when count({c}) = 0 then 'unknown' when count(try_cast({c}::varchar as timestamp)) >= 0.8 * count({c}) then 'temporal' when count(try_cast({c}::varchar as double)) > 0.9 * count({c}) then 'numeric' else 'categorical' end"
+    named = (("s.k", 0, kind("l_orderkey")), ("s.inner.d", 1, kind("l_shipdate")), ("s.inner.f", 2, kind("l_returnflag")), ("s.inner.none", 3, kind("nullif(l_tax, l_tax)")), ("l_quantity", 7, kind("l_quantity")))
+    register(
+        "infer_types_nested",
+        lambda sp, d: ops.infer_types(derived(table(sp, d, "lineitem"), nested)),
+        " union all ".join(f"select '{n}' as \"column\", {i}::int as ordinal, {k} as type from lineitem" for n, i, k in named)
+        + " union all select * from (values ('list', 4::int, 'unknown'), ('pairs', 5::int, 'unknown'), ('flag', 6::int, 'unknown')) t",
+    )
     ev = ("event_id", "ts", "user_id", "event_type", "value", "props")
     evt = "(select " + ", ".join(f"cast({c} as varchar) as {c}" for c in ev) + ", event_id as o from events)"
     loose = lambda c: LOOSE_SQL.format(c)

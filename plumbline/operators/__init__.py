@@ -22,6 +22,7 @@ from plumbline.operators.frequency import (
 )
 from plumbline.operators.histogram import histogram
 from plumbline.operators.infer import columns_of_type, count_by_type, infer_types, type_map
+from plumbline.operators.nested import leaves
 from plumbline.operators.quality import (
     domain_coverage,
     domain_matches,
@@ -54,6 +55,7 @@ from plumbline.operators.reconcile import (
     validate,
     validate_datasets,
 )
+from plumbline.operators.rules import Measurement, Rules
 from plumbline.operators.sampling import adaptive_sample, random_sample, reservoir_sample, stratified_sample
 from plumbline.operators.summary import (
     column_summary,

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import loose_number, parse_date, whole_number
-from plumbline.operators.columns import Cell, cells, long, wide
+from plumbline.operators.columns import Cell, cells, local_table, long, wide
+from plumbline.operators.nested import leaves
 from plumbline.operators.summary import summary_aggregates, type_by_share
 
 POLICIES = ("default", "stream", "head", "integrity", "metadata", "plan", "accuracy")
@@ -34,11 +35,20 @@ def infer_types(
                    0.8 of the first 100
     ``plan``       first 100 rows: numbers are counted before dates, shares above 0.8
     ``accuracy``   first 20 rows: numeric prefixes in more than 0.8 of the rows
+
+    Fields of structs are columns of their own, with dotted names.  Arrays, maps, booleans,
+    intervals and binary cells are none of these types: ``unknown``.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
+    df = leaves(df)
     picked = cells(df, columns)
-    return _RULES[policy](df, picked, order_by)
+    readable = [c for c in picked if c.is_supported]
+    others = local_table(df.sparkSession, [(c.name, c.ordinal, "unknown") for c in picked if not c.is_supported], "column string, ordinal int, type string")
+    if not readable:
+        return others
+    found = _RULES[policy](df, readable, order_by)
+    return found.unionByName(others) if len(readable) < len(picked) else found
 
 
 def _number_text(c: Cell) -> Column:

@@ -17,19 +17,24 @@ def reconcile(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFram
 
     ``missing``: only on the left; ``orphaned``: only on the right; ``mismatch``: different
     row counts.  Both sides are counted per key before they meet, so a key held by a third
-    of the rows is one record, and one outer join answers all three.
+    of the rows is one record, and one outer join answers all three.  NULL keys compare equal.
     """
     keys = list(key)
+    other = [f"_right_{i}" for i in range(len(keys))]
     a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("left_count"))
-    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("right_count"))
+    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("right_count")).toDF(*other, "right_count")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, other)])
     finding = (
         F.when(F.col("right_count") == 0, "missing")
         .when(F.col("left_count") == 0, "orphaned")
         .when(F.col("left_count") != F.col("right_count"), "mismatch")
     )
     return (
-        a.join(b, keys, "full_outer")
-        .select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("left_count", "right_count")])
+        a.join(b, same, "full_outer")
+        .select(
+            *[F.coalesce(F.col(k), F.col(o)).alias(k) for k, o in zip(keys, other)],
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("left_count", "right_count")],
+        )
         .withColumn("finding", finding)
         .where(F.col("finding").isNotNull())
     )

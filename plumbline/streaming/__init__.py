@@ -1,4 +1,4 @@
 from plumbline.streaming.batches import map_batches
-from plumbline.streaming.profile import profile_stream, run_profile
+from plumbline.streaming.profile import keep_profile, latest_state, profile_stream, run_profile, summary_of
 
-__all__ = ["map_batches", "profile_stream", "run_profile"]
+__all__ = ["keep_profile", "latest_state", "map_batches", "profile_stream", "run_profile", "summary_of"]

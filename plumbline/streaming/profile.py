@@ -1,37 +1,40 @@
-"""Column summary kept up to date over a stream.
+"""Column summary kept up to date over a stream, in a versioned table.
 
-The summary's state (counts, sum, min, max per column) is a streaming aggregation: rows
-are combined within each task, one record per column and task reaches the state store,
-and the checkpoint makes a restart continue where it stopped, counting nothing twice.
+Every micro-batch is reduced to a partial state: counts, sum, min and max, a sketch of
+distinct values and one of quantiles, a row per column.  ``foreachBatch`` merges it with
+the version that the batch before left and writes the next version as Parquet.  A batch
+that is run again after a failure starts from the same version and overwrites its own, so
+nothing is counted twice; a restart goes on from the checkpoint and the last version.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import Cell, cells, long
+from plumbline.operators.ordering import doubles_sql
 from plumbline.operators.summary import finish_summary
+from plumbline.shared import shared_dir
+
+QUANTILE_K = 800
+DISTINCT_LG_K = 12
+COUNTS = ("count", "null_count", "numeric_count", "text_count")
 
 
 def _facts(c: Cell):
     num = c.number("strict")
     return F.struct(
-        F.lit(c.ordinal).alias("ordinal"), num.alias("num"), F.coalesce(~c.missing, F.lit(False)).alias("present")
+        F.lit(c.ordinal).alias("ordinal"), num.alias("num"), F.coalesce(~c.missing, F.lit(False)).alias("present"), c.text().alias("text")
     )
 
 
-def profile_stream(stream: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Streaming ``column_summary``: write it in ``complete`` or ``update`` mode.
-
-    Works on a batch table too, with the same result.
-    """
-    f = long(stream, cells(stream, columns), _facts).select("column", "value.*")
-    state = f.groupBy("column", "ordinal").agg(
+def _counted(rows: DataFrame, columns: Iterable[str] | None):
+    f = long(rows, cells(rows, columns), _facts).select("column", "value.*")
+    aggregates = [
         F.count_if("present").alias("count"),
         F.count_if(~F.col("present")).alias("null_count"),
         F.count("num").alias("numeric_count"),
@@ -39,34 +42,96 @@ def profile_stream(stream: DataFrame, columns: Iterable[str] | None = None) -> D
         F.coalesce(F.sum("num"), F.lit(0.0)).alias("sum"),
         F.min("num").alias("min"),
         F.max("num").alias("max"),
+    ]
+    return f.groupBy("column", "ordinal"), aggregates
+
+
+def profile_stream(stream: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """Streaming ``column_summary``: write it in ``complete`` or ``update`` mode.
+
+    Works on a batch table too, with the same result.
+    """
+    grouped, aggregates = _counted(stream, columns)
+    return finish_summary(grouped.agg(*aggregates))
+
+
+def partial_state(rows: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """The mergeable state of a batch: a row per column."""
+    grouped, aggregates = _counted(rows, columns)
+    text = F.when(F.col("present"), F.col("text"))
+    quantiles = F.call_function("kll_sketch_agg_double", F.col("num"), F.lit(QUANTILE_K))
+    return grouped.agg(*aggregates, F.hll_sketch_agg(text, F.lit(DISTINCT_LG_K)).alias("distinct"), quantiles.alias("quantiles"))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state of several: rows of the same column put together."""
+    merged = F.call_function("kll_merge_agg_double", F.col("quantiles"), F.lit(QUANTILE_K))
+    return states.groupBy("column", "ordinal").agg(
+        *[F.sum(c).alias(c) for c in COUNTS],
+        F.sum("sum").alias("sum"),
+        F.min("min").alias("min"),
+        F.max("max").alias("max"),
+        F.hll_union_agg("distinct").alias("distinct"),
+        merged.alias("quantiles"),
+    )
+
+
+def summary_of(state: DataFrame, shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """``column_summary`` of a state, with estimates ``distinct_values`` and ``approximate_quantiles`` at the shares."""
+    quantiles = F.call_function("kll_sketch_get_quantile_double", F.col("quantiles"), F.expr(doubles_sql(shares)))
+    estimates = state.withColumn("distinct_values", F.hll_sketch_estimate("distinct")).withColumn(
+        "approximate_quantiles", F.when(F.col("numeric_count") > 0, quantiles)
     )
-    return finish_summary(state)
+    return finish_summary(estimates.drop("distinct", "quantiles"))
+
+
+def _version(path: str, batch: int) -> str:
+    return f"{path.rstrip('/')}/state/version={batch}"
+
+
+def keep_profile(stream: DataFrame, path: str, columns: Iterable[str] | None = None, trigger: dict | None = None):
+    """Starts the query that keeps the summary below ``path``, a folder that driver and executors share.
+
+    The folder holds the checkpoint and a version of the state per batch.  By default the
+    query takes in what the source has now and ends.
+    """
+    picked = list(columns) if columns is not None else None
+
+    def merge(batch: DataFrame, number: int) -> None:
+        state = partial_state(batch, picked)
+        if number > 0:
+            # versions follow one another as batches do
+            state = merge_states(state.unionByName(batch.sparkSession.read.parquet(_version(path, number - 1))))
+        state.coalesce(1).write.mode("overwrite").parquet(_version(path, number))
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path.rstrip('/')}/checkpoint")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the last batch that was taken in."""
+    # a row per batch and column
+    every = spark.read.option("basePath", f"{path.rstrip('/')}/state").parquet(f"{path.rstrip('/')}/state/version=*")
+    last = every.agg(F.max("version")).first()[0]
+    return spark.read.parquet(_version(path, last))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names, else a fresh local one (single machine only)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/profile-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="profile-")
+    """A new folder in the one that the session shares."""
+    return f"{shared_dir(spark).rstrip('/')}/profile-{uuid.uuid4().hex}"
 
 
 def run_profile(
     stream: DataFrame, name: str, checkpoint: str | None = None, columns: Iterable[str] | None = None
 ) -> DataFrame:
-    """Takes in everything the source has now and returns the summary so far.
+    """Takes in everything the source has now and returns the summary so far, also as view ``name``.
 
-    The result table has one row per column.  Give ``checkpoint`` to continue an earlier run.
+    The result has one row per column.  Give ``checkpoint``, a shared folder, to continue an
+    earlier run.
     """
     spark = stream.sparkSession
-    query = (
-        profile_stream(stream, columns)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint or checkpoint_root(spark))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+    path = checkpoint or checkpoint_root(spark)
+    keep_profile(stream, path, columns).awaitTermination()
+    out = summary_of(latest_state(spark, path)).drop("distinct_values", "approximate_quantiles")
+    out.createOrReplaceTempView(name)
+    return out

@@ -470,6 +470,31 @@ def test_stream_continues_from_checkpoint(spark, sales, tmp_path):
     assert total == profile_rows(ops.column_summary(sales))
 
 
+def test_batch_run_again_counts_once(spark, sales, tmp_path):
+    """The state after a batch does not depend on how often the batch was tried."""
+    from plumbline.streaming import profile as st
+
+    source, path = tmp_path / "in", str(tmp_path / "kept")
+    for part in range(3):
+        sales.where(f"cast(quantity as int) % 3 = {part}").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    st.keep_profile(stream, path).awaitTermination()
+    versions = sorted(p.name for p in (tmp_path / "kept" / "state").iterdir())
+    assert versions == ["version=0", "version=1", "version=2"]
+    before = profile_rows(st.latest_state(spark, path).drop("distinct", "quantiles"))
+    # the commit of the last batch is lost: the query runs it again
+    (tmp_path / "kept" / "checkpoint" / "commits" / "2").unlink()
+    crc = tmp_path / "kept" / "checkpoint" / "commits" / ".2.crc"
+    if crc.exists():
+        crc.unlink()
+    st.keep_profile(stream, path).awaitTermination()
+    assert profile_rows(st.latest_state(spark, path).drop("distinct", "quantiles")) == before
+    kept = {r["column"]: r for r in st.summary_of(st.latest_state(spark, path)).collect()}
+    assert kept["product"]["distinct_values"] == sales.select("product").distinct().count()
+    low, mid, high = kept["quantity"]["approximate_quantiles"]
+    assert kept["quantity"]["min"] <= low <= mid <= high <= kept["quantity"]["max"]
+
+
 def profile_rows(df):
     names = sorted(df.columns)
     return sorted(str([round(r[n], 6) if isinstance(r[n], float) else r[n] for n in names]) for r in df.collect())
