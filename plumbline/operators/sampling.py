@@ -15,14 +15,22 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.columns import cells
 from plumbline.operators.frequency import cardinality
+from plumbline.shared import cut
 
 
-def _hash(df: DataFrame, key: Sequence[str] | None, seed: int | str) -> Column:
+# Tasks' reservoirs are merged in so many groups, for samples of up to so many rows.
+MERGES = 64
+RESERVOIR_ROWS = 1_000_000
+# Strata whose quotas are broadcast.
+BROADCAST_STRATA = 200_000
+
+
+def seeded_hash(df: DataFrame, key: Sequence[str] | None, seed: int | str) -> Column:
     parts = [F.coalesce(c.text(), F.lit("")) for c in cells(df, key or None)]
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def _ties(df: DataFrame, key: Sequence[str] | None) -> list[Column]:
+def tie_columns(df: DataFrame, key: Sequence[str] | None) -> list[Column]:
     return [c.raw for c in cells(df, key or None) if c.dtype.typeName() not in ("map", "variant")]
 
 
@@ -51,12 +59,28 @@ def random_sample(
     df: DataFrame, k: int, key: Sequence[str] | None = None, seed: int | str = 0
 ) -> DataFrame:
     """Exactly ``min(k, n)`` rows, without replacement.  ``key`` should identify a row."""
-    return _smallest(df.withColumn("_h", _hash(df, key, seed)), k, _ties(df, key)).drop("_h")
+    return _smallest(df.withColumn("_h", seeded_hash(df, key, seed)), k, tie_columns(df, key)).drop("_h")
 
 
 def reservoir_sample(df: DataFrame, k: int, key: Sequence[str] | None = None, seed: int | str = 0) -> DataFrame:
-    """Same distribution as a reservoir over the rows: every ``k``-subset is equally likely."""
-    return random_sample(df, k, key, seed)
+    """The rows of ``random_sample`` out of one scan: every ``k``-subset is equally likely.
+
+    Every task holds the ``k`` rows of smallest hash that it has seen; tasks' reservoirs are
+    merged in ``MERGES`` groups, and these into one.  That passes ``k`` rows through a task,
+    so a sample above ``RESERVOIR_ROWS`` is left to ``random_sample``.
+    """
+    if k > RESERVOIR_ROWS:
+        return random_sample(df, k, key, seed)
+    return merge_reservoirs(df.withColumn("_h", seeded_hash(df, key, seed)), k, tie_columns(df, key)).drop("_h")
+
+
+def merge_reservoirs(rows: DataFrame, k: int, ties: Sequence[Column] = ()) -> DataFrame:
+    """The ``k`` rows with the smallest ``_h``, of one or several reservoirs put together."""
+    group = F.pmod(F.spark_partition_id(), F.lit(MERGES))
+    # the limit on the rank is applied in every task before its rows are shuffled
+    first = F.row_number().over(Window.partitionBy("_merge").orderBy("_h", *ties))
+    merged = rows.withColumn("_merge", group).withColumn("_rank", first).where(F.col("_rank") <= k)
+    return merged.drop("_merge", "_rank").orderBy("_h", *ties).limit(k)
 
 
 def stratified_sample(
@@ -72,8 +96,8 @@ def stratified_sample(
     if total <= k:
         return df
     label = F.coalesce(cells(df, [stratum])[0].text(), F.lit(""))
-    ties, head = _ties(df, key), _head(total)
-    hashed = df.withColumn("_h", _hash(df, key, seed)).withColumn("_s", label)
+    ties, head = tie_columns(df, key), _head(total)
+    hashed = df.withColumn("_h", seeded_hash(df, key, seed)).withColumn("_s", label)
     sizes = hashed.groupBy("_s", head.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     size = F.sum("_n").over(Window.partitionBy("_s"))
     quota = F.greatest(F.lit(1), F.floor(size * F.lit(float(k)) / F.lit(float(total)) + 0.5))
@@ -83,7 +107,9 @@ def stratified_sample(
         .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") >= F.col("_quota")))
         .select("_s", F.col("_p").alias("_end"), (F.col("_quota") - F.col("_before")).alias("_left"))
     )
-    rows = hashed.join(ends, "_s")
+    ends = cut(ends)
+    # a row per stratum: sent to all tasks where that is little, so that a large stratum stays where it is
+    rows = hashed.join(F.broadcast(ends) if ends.count() <= BROADCAST_STRATA else ends, "_s")
     first = F.row_number().over(Window.partitionBy("_s").orderBy("_h", *ties))
     last = rows.where(head == F.col("_end")).withColumn("_r", first).where(F.col("_r") <= F.col("_left")).drop("_r")
     kept = rows.where(head < F.col("_end")).unionByName(last)

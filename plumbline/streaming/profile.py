@@ -1,10 +1,9 @@
-"""Column summary kept up to date over a stream, in a versioned table.
+"""Column summary and sample kept up to date over a stream, in a versioned table.
 
 Every micro-batch is reduced to a partial state: counts, sum, min and max, a sketch of
-distinct values and one of quantiles, a row per column.  ``foreachBatch`` merges it with
-the version that the batch before left and writes the next version as Parquet.  A batch
-that is run again after a failure starts from the same version and overwrites its own, so
-nothing is counted twice; a restart goes on from the checkpoint and the last version.
+distinct values and one of quantiles, a row per column, which is merged with the version
+that the batch before left (``versions.keep_state``).  A restart goes on from the checkpoint
+and the last version.
 """
 
 from __future__ import annotations
@@ -14,11 +13,14 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators.columns import Cell, cells, long
 from plumbline.operators.ordering import doubles_sql
+from plumbline.operators.sampling import merge_reservoirs, seeded_hash, tie_columns
 from plumbline.operators.summary import finish_summary
 from plumbline.shared import shared_dir
+from plumbline.streaming.versions import keep_state, latest_state
 
 QUANTILE_K = 800
 DISTINCT_LG_K = 12
@@ -85,35 +87,24 @@ def summary_of(state: DataFrame, shares: Sequence[float] = (0.25, 0.5, 0.75)) ->
     return finish_summary(estimates.drop("distinct", "quantiles"))
 
 
-def _version(path: str, batch: int) -> str:
-    return f"{path.rstrip('/')}/state/version={batch}"
+def keep_profile(stream: DataFrame, path: str, columns: Iterable[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Starts the query that keeps the summary's state below ``path``; see ``versions.keep_state``."""
+    picked = list(columns) if columns is not None else None
+    return keep_state(stream, path, lambda batch: partial_state(batch, picked), merge_states, trigger)
 
 
-def keep_profile(stream: DataFrame, path: str, columns: Iterable[str] | None = None, trigger: dict | None = None):
-    """Starts the query that keeps the summary below ``path``, a folder that driver and executors share.
+def keep_reservoir(
+    stream: DataFrame, path: str, k: int, key: Sequence[str] | None = None, seed: int | str = 0, trigger: dict | None = None
+) -> StreamingQuery:
+    """Starts the query that keeps ``k`` rows of the stream, the same as ``reservoir_sample`` takes of all its rows.
 
-    The folder holds the checkpoint and a version of the state per batch.  By default the
-    query takes in what the source has now and ends.
+    ``latest_state(spark, path).drop("_h")`` is the sample so far.
     """
-    picked = list(columns) if columns is not None else None
-
-    def merge(batch: DataFrame, number: int) -> None:
-        state = partial_state(batch, picked)
-        if number > 0:
-            # versions follow one another as batches do
-            state = merge_states(state.unionByName(batch.sparkSession.read.parquet(_version(path, number - 1))))
-        state.coalesce(1).write.mode("overwrite").parquet(_version(path, number))
-
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path.rstrip('/')}/checkpoint")
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+    def partial(batch: DataFrame) -> DataFrame:
+        return merge_reservoirs(batch.withColumn("_h", seeded_hash(batch, key, seed)), k, tie_columns(batch, key))
 
-def latest_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state after the last batch that was taken in."""
-    # a row per batch and column
-    every = spark.read.option("basePath", f"{path.rstrip('/')}/state").parquet(f"{path.rstrip('/')}/state/version=*")
-    last = every.agg(F.max("version")).first()[0]
-    return spark.read.parquet(_version(path, last))
+    return keep_state(stream, path, partial, lambda rows: merge_reservoirs(rows, k, tie_columns(rows.drop("_h"), key)), trigger)
 
 
 def checkpoint_root(spark: SparkSession) -> str:

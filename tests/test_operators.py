@@ -495,6 +495,26 @@ def test_batch_run_again_counts_once(spark, sales, tmp_path):
     assert kept["quantity"]["min"] <= low <= mid <= high <= kept["quantity"]["max"]
 
 
+def test_reservoir_of_a_stream_is_that_of_the_table(spark, sales, tmp_path):
+    from plumbline.streaming import keep_reservoir, latest_state
+
+    source, path = tmp_path / "in", str(tmp_path / "kept")
+    for part in range(3):
+        sales.where(f"cast(quantity as int) % 3 = {part}").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    keep_reservoir(stream, path, 7, seed=4).awaitTermination()
+    kept = profile_rows(latest_state(spark, path).drop("_h"))
+    assert len(kept) == 7
+    assert kept == profile_rows(ops.reservoir_sample(sales, 7, seed=4)) == profile_rows(ops.random_sample(sales, 7, seed=4))
+
+
+def test_reservoir_takes_one_scan(spark):
+    df = spark.range(0, 5000, 1, 11)
+    sample = ops.reservoir_sample(df, 40, ["id"], 3)
+    assert sample._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    assert sorted(r[0] for r in sample.collect()) == sorted(r[0] for r in ops.random_sample(df, 40, ["id"], 3).collect())
+
+
 def profile_rows(df):
     names = sorted(df.columns)
     return sorted(str([round(r[n], 6) if isinstance(r[n], float) else r[n] for n in names]) for r in df.collect())
