@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -327,44 +328,97 @@ def _summaries() -> None:
         ),
         numeric_sql,
     )
-    kinds = {"l_quantity": "numeric", "l_tax": "numeric", "l_returnflag": "categorical", "l_shipdate": "temporal"}
+    kinds = dict.fromkeys(LINE_NUMBERS, "numeric") | {"l_returnflag": "categorical", "l_linestatus": "categorical", "l_shipdate": "temporal"}
+    flags = ("l_returnflag", "l_linestatus")
 
-    def stats_rows(sp, d):
-        got = plans.dataset_stats(table(sp, d, "lineitem").select(*kinds), kinds)
-        return rounded(
-            got["moments"].select(F.lit("moments").alias("part"), "column", F.col("mean").alias("value"))
-            .unionAll(got["quartiles"].select(F.lit("quartiles"), "column", F.col("median").cast("double")))
-            .unionAll(got["histograms"].groupBy("column").agg(F.sum("count").alias("n")).select(F.lit("histograms"), "column", F.col("n").cast("double")))
-            .unionAll(got["frequencies"].groupBy("column").agg(F.sum("count").alias("n")).select(F.lit("frequencies"), "column", F.col("n").cast("double")))
-            .unionAll(got["temporal"].select(F.lit("temporal"), "column", F.col("count").cast("double"))), 4
+    def in_long_form(part: str, rows: DataFrame, named: str | None, keys: Sequence[str]) -> DataFrame:
+        """``(part, column, key, value)`` of the given fields; ``named`` is a field that goes into the key."""
+        name = F.coalesce(F.col(named).cast("string"), F.lit("")) if named else F.lit("")
+        column = F.col("column") if "column" in rows.columns else F.lit("")
+        facts = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("v")) for k in keys])).alias("x")
+        out = rows.select(column.alias("column"), name.alias("name"), facts)
+        return out.select(F.lit(part).alias("part"), "column", F.concat_ws(":", "x.k", F.when(F.col("name") != "", F.col("name"))).alias("key"), F.col("x.v").alias("value"))
+
+    def long_parts(got: Mapping[str, DataFrame], picked: Mapping[str, tuple[str | None, Sequence[str]]]) -> DataFrame:
+        parts = [in_long_form(p, got[p], named, keys) for p, (named, keys) in picked.items()]
+        return rounded(reduce(DataFrame.unionAll, parts), 4)
+
+    def facts_sql(part: str, source: str, facts: Mapping[str, str], by: str = '"column"', name: str = "''") -> str:
+        group = f" group by {by}" + (f", {name}" if name != "''" else "") if by != "''" else ""
+        return " union all ".join(
+            f"select '{part}' as part, {by} as \"column\", '{k}' || case when {name} <> '' then ':' || {name} else '' end as key, {r(f'({e})::double', 4)} as value from {source}{group}"
+            for k, e in facts.items()
         )
 
-    pair = ("l_quantity", "l_tax")
+    numbers_sql = cells_sql("lineitem", LINE_NUMBERS)
+    ends = f"(select \"column\" as c, min(v) as lo, max(v) as hi from {numbers_sql} group by 1)"
+    bins = (
+        f"(select s.c as \"column\", s.b::varchar as bin, count(f.v) as n from (select c, b from {ends}, range(10) t(b)) s left join (select \"column\" as c, v, "
+        f"case when v = hi then 9 else least(9, floor((v - lo) / ((hi - lo) / 10.0::double))) end as b from {numbers_sql} join {ends} on c = \"column\") f using (c, b) group by 1, 2)"
+    )
+    flag_counts = "(" + each(flags, lambda c, i: f"select '{c}' as \"column\", {c} as v, count(*) as n from lineitem group by {c}") + ")"
+    days = "(select 'l_shipdate' as \"column\", epoch_ms(l_shipdate::timestamp)::double as v, row_number() over (order by l_shipdate) - 1 as i, count(*) over () as n from lineitem)"
+    beyond = f"(select \"column\", {at(0.25)} as q1, {at(0.75)} as q3 from {ordered('lineitem', LINE_NUMBERS)} group by 1)"
+    outliers = f"(select \"column\", count(*) filter (v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)) as n from {numbers_sql} join {beyond} using (\"column\") group by 1)"
+    histogram_facts = facts_sql("histograms", bins, {"count": "sum(n)"}, name="bin")
     register(
         "dataset_stats",
-        stats_rows,
-        f"select 'moments' as part, \"column\", {r('avg(v)', 4)} as value from {cells_sql('lineitem', pair)} group by all "
-        f"union all select 'quartiles', \"column\", {r(avg_q(0.5), 4)} from {ordered('lineitem', pair)} group by all "
-        f"union all select 'histograms', \"column\", count(v)::double from {cells_sql('lineitem', pair)} group by all "
-        "union all select 'frequencies', 'l_returnflag', count(*)::double from lineitem union all select 'temporal', 'l_shipdate', count(l_shipdate)::double from lineitem",
-    )
-
-    def metadata_rows(sp, d):
-        got = plans.dataset_metadata(table(sp, d, "lineitem").select(*kinds), kinds)
-        names = sp.range(1).selectExpr(f"explode(array({', '.join(repr(k) for k in sorted(got))})) as part")
-        size = got["dataset"].selectExpr("'dataset' as part", "record_count as n")
-        per = [got[k].groupBy().agg(F.count("*").alias("n")).select(F.lit(k).alias("part"), "n") for k in ("features", "numeric_features", "categorical_features", "temporal_features", "correlations", "value_counts")]
-        for p in per:
-            size = size.unionAll(p)
-        return names.join(size, "part", "left")
+        lambda sp, d: long_parts(
+            plans.dataset_stats(table(sp, d, "lineitem"), kinds),
+            {
+                "moments": (None, ("count", "min", "max", "mean", "range")), "quartiles": (None, ("q1", "q3", "median", "outliers")),
+                "histograms": ("bin", ("count",)), "frequencies": ("value", ("count",)), "temporal": (None, ("count", "min_ms", "max_ms", "median")),
+            },
+        ),
+        " union all ".join((
+            facts_sql("moments", numbers_sql, {"count": "count(v)", "min": "min(v)", "max": "max(v)", "mean": "avg(v)", "range": "max(v) - min(v)"}),
+            facts_sql("quartiles", ordered("lineitem", LINE_NUMBERS), {"q1": at(0.25), "q3": at(0.75), "median": avg_q(0.5)}),
+            facts_sql("quartiles", outliers, {"outliers": "sum(n)"}),
+            histogram_facts,
+            facts_sql("frequencies", flag_counts, {"count": "sum(n)"}, name="v"),
+            facts_sql("temporal", days, {"count": "count(v)", "min_ms": "min(v)", "max_ms": "max(v)", "median": avg_q(0.5)}),
+        )),
+    )
+    whole_pairs = " union all ".join(
+        f"select '{x}' as \"column\", '{y}' as y, " + ("max(1.0::double)" if x == y else f"corr({x}, {y})") + " as v from lineitem" for x in LINE_NUMBERS for y in LINE_NUMBERS
+    )
+    strong = " union all ".join(
+        f"select '{x}' as x, '{y}' as y, corr({x}, {y}) as v from lineitem" for i, x in enumerate(LINE_NUMBERS) for y in LINE_NUMBERS[i + 1 :]
+    )
+    gap = "(select 'l_shipdate' as \"column\", v, row_number() over (order by v) - 1 as i, count(*) over () as n from (select (v - lag(v) over (order by v)) / 86400000.0::double as v from " + days + ") where v is not null)"
+    filled = "(" + each(list(kinds), lambda c, i: f"select '{c}' as \"column\", count(*) - count({c}) as n from lineitem") + ")"
+
+    def metadata_parts(sp, d):
+        got = dict(plans.dataset_metadata(table(sp, d, "lineitem"), kinds))
+        got["correlations"] = got["correlations"].withColumnRenamed("column_x", "column")
+        got["correlated_pairs"] = got["correlated_pairs"].withColumnRenamed("feature1", "column")
+        return long_parts(
+            got,
+            {
+                "dataset": (None, ("record_count", "feature_count")), "features": (None, ("missing",)), "numeric_features": (None, ("mean", "variance", "missing_pct")),
+                "histograms": ("bin", ("count",)), "correlations": ("column_y", ("correlation",)), "correlated_pairs": ("feature2", ("correlation",)),
+                "categorical_features": ("most_frequent", ("valid_count", "unique_values", "most_count")), "value_counts": ("value", ("count", "rank")),
+                "temporal_features": (None, ("valid_count", "range_days")), "date_patterns": ("frequency", ("median_days",)),
+            },
+        )
 
-    parts = ("categorical_features", "correlated_pairs", "correlations", "dataset", "date_patterns", "features", "histograms", "insights", "numeric_features", "recommendations", "temporal_features", "value_counts")
+    most = "(select \"column\", max(v) filter (place = 1) as v, sum(n) as total, count(*) as kinds, max(n) as most from (select *, row_number() over (partition by \"column\" order by n desc, v) as place from " + flag_counts + ") group by 1)"
     register(
         "dataset_metadata",
-        metadata_rows,
-        "select part, case part when 'dataset' then (select count(*) from lineitem) when 'features' then 4 when 'numeric_features' then 2 when 'categorical_features' then 1 "
-        "when 'temporal_features' then 1 when 'correlations' then 4 when 'value_counts' then (select count(distinct l_returnflag) from lineitem) end as n from (values "
-        + ", ".join(f"('{x}')" for x in parts) + ") t(part)",
+        metadata_parts,
+        " union all ".join((
+            facts_sql("dataset", "lineitem", {"record_count": "count(*)", "feature_count": f"max({len(kinds)})"}, by="''"),
+            facts_sql("features", filled, {"missing": "sum(n)"}),
+            facts_sql("numeric_features", numbers_sql, {"mean": "avg(v)", "variance": "var_pop(v)", "missing_pct": "(count(*) - count(v)) * 100.0 / count(*)"}),
+            histogram_facts,
+            facts_sql("correlations", f"({whole_pairs})", {"correlation": "sum(v)"}, name="y"),
+            f"select 'correlated_pairs', x, 'correlation:' || y, {r('v', 4)} from ({strong}) where abs(v) >= 0.7",
+            facts_sql("categorical_features", most, {"valid_count": "sum(total)", "unique_values": "sum(kinds)", "most_count": "sum(most)"}, name="v"),
+            facts_sql("value_counts", "(select *, row_number() over (partition by \"column\" order by n desc, v) as place from " + flag_counts + ")", {"count": "sum(n)", "rank": "sum(place)"}, name="v"),
+            facts_sql("temporal_features", days, {"valid_count": "count(v)", "range_days": "(max(v) - min(v)) / 86400000.0::double"}),
+            f"select 'date_patterns', \"column\", 'median_days:' || case when m < 0.042 then 'sub-hourly' when m < 0.125 then 'hourly' when m < 2.5 then 'daily' else 'other' end, {r('m', 4)} "
+            f"from (select \"column\", {avg_q(0.5)} as m from {gap} group by 1)",
+        )),
     )
     register(
         "percentage_check",
