@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,14 +128,19 @@ def order_statistics(
     shares = _near(t.p for t in targets)
     first = sketched_quantiles(df, values, {name: shares for name in values})
     return _settled(
-        df.sparkSession, first, targets, lambda slots: _slot_rows(df, values, slots), lambda slots: _inner_edges(df, values, slots), finish_rows
+        df.sparkSession, first, {n: targets for n in values}, lambda slots: _slot_rows(df, values, slots), lambda slots: _inner_edges(df, values, slots), finish_rows
     )
 
 
 def grouped_order_statistics(
-    df: DataFrame, label: Column, value: Column, names: Sequence[str], targets: Sequence[Target], finish_rows: int = FINISH_ROWS
+    df: DataFrame,
+    label: Column,
+    value: Column,
+    names: Sequence[str],
+    targets: Sequence[Target] | Mapping[str, Sequence[Target]],
+    finish_rows: int = FINISH_ROWS,
 ) -> dict[str, dict]:
-    """``order_statistics`` of the values of each label in ``names``.
+    """``order_statistics`` of the values of each label in ``names``, with the same targets or each with its own.
 
     Every row belongs to one list, so a pass reads one value a row, however many labels
     there are.  The driver holds a few numbers for each.
@@ -143,7 +149,8 @@ def grouped_order_statistics(
     wanted = local_table(spark, [(i, n) for i, n in enumerate(names)], "list int, name string")
     rows = df.select(label.alias("name"), value.cast("double").alias("v")).where(F.col("v").isNotNull())
     rows = rows.join(F.broadcast(wanted), "name").select("list", "v")  # one row per label
-    shares = _near(t.p for t in targets)
+    own = targets if isinstance(targets, Mapping) else {n: targets for n in names}
+    shares = _near(t.p for n in names for t in own[n])
 
     def rows_of(slots: Sequence[_Open]) -> DataFrame:
         at = {n: i for i, n in enumerate(names)}
@@ -162,7 +169,7 @@ def grouped_order_statistics(
 
     found = _sketches(rows, shares)
     first = {n: found.get(i, (0, None, None, [])) for i, n in enumerate(names)}
-    return _settled(spark, first, targets, rows_of, inner, finish_rows)
+    return _settled(spark, first, own, rows_of, inner, finish_rows)
 
 
 def _sketches(rows: DataFrame, shares: Sequence[float]) -> dict[int, tuple[int, float | None, float | None, list[float]]]:
@@ -182,9 +189,9 @@ def _settled(spark, first, targets, rows_of, inner_edges, finish_rows) -> dict[s
     found: dict[str, dict] = {}
     slots: list[_Open] = []
     for name, (n, low, high, _) in first.items():
-        found[name] = {"n": n, "min": low, "max": high, **{t.name: None for t in targets}}
-        if n:
-            slots.append(_Open(name, None, None, 0, n, [(t.name, t.index(n)) for t in targets]))
+        found[name] = {"n": n, "min": low, "max": high, **{t.name: None for t in targets[name]}}
+        if n and targets[name]:
+            slots.append(_Open(name, None, None, 0, n, [(t.name, t.index(n)) for t in targets[name]]))
     edges = {id(s): sorted(set(first[s.name][3])) for s in slots}
     slots = _narrow(spark, rows_of, slots, edges, found)
     while slots and max(s.size for s in slots) > finish_rows:
@@ -342,15 +349,31 @@ def with_bucket(rows: DataFrame, value: str, cuts: Cuts, name: str = "bucket", f
     if cuts.fine is None:
         out = out.withColumn(name, F.col("_high").cast("long") * FINE)
         return (out.withColumn(floor, by_edge) if floor else out).drop("_high")
-    # at most 2 ** BUCKET_BITS rows of as many numbers
-    fine = F.broadcast(cuts.fine.select(F.col("high").alias("_high"), F.col("cuts").alias("_cuts")))
-    out = out.join(fine, "_high", "left").withColumn("_low", _position_in(F.coalesce("_cuts", F.array().cast("array<double>")), value))
-    out = out.withColumn(name, F.col("_high").cast("long") * FINE + F.col("_low"))
+    out = _with_low(out, cuts.fine.withColumnRenamed("high", "_high"), ["_high"], value, name)
     if floor:
         out = out.withColumn(floor, F.coalesce(F.get("_cuts", F.col("_low") - 1), by_edge))
     return out.drop("_high", "_low", "_cuts")
 
 
+def with_bucket_by(rows: DataFrame, key: str, value: str, cuts: Mapping[str, Cuts]) -> DataFrame:
+    """``with_bucket`` of values that are cut by the label in ``key``, each label with its own cut points."""
+    high = F.when(F.lit(False), 0)
+    for label, c in cuts.items():
+        high = high.when(F.col(key) == label, edge_position(c.edges, value))
+    out = rows.withColumn("_high", high)
+    fine = [c.fine.select(F.lit(label).alias(key), F.col("high").alias("_high"), "cuts") for label, c in cuts.items() if c.fine is not None]
+    if not fine:
+        return out.withColumn("bucket", F.col("_high").cast("long") * FINE).drop("_high")
+    return _with_low(out, reduce(DataFrame.unionAll, fine), [key, "_high"], value, "bucket").drop("_high", "_low", "_cuts")
+
+
+def _with_low(rows: DataFrame, fine: DataFrame, on: list[str], value: str, name: str) -> DataFrame:
+    # at most 2 ** BUCKET_BITS rows of as many numbers for each value list
+    out = rows.join(F.broadcast(fine.withColumnRenamed("cuts", "_cuts")), on, "left")
+    out = out.withColumn("_low", _position_in(F.coalesce("_cuts", F.array().cast("array<double>")), value))
+    return out.withColumn(name, F.col("_high").cast("long") * FINE + F.col("_low"))
+
+
 def _position_in(held: Column, value: str) -> Column:
     """How many of a sorted array's numbers are at or below the value."""
     steps = F.lit([1 << i for i in reversed(range(BUCKET_BITS + 1))])
@@ -418,18 +441,19 @@ def average_ranks(rows: DataFrame, value: str, cuts: Cuts) -> DataFrame:
     )
 
 
-def with_previous(distinct: DataFrame, value: str, cuts: Cuts) -> DataFrame:
-    """Adds ``previous``: the next smaller value (values must be distinct)."""
-    b = with_bucket(distinct, value, cuts)
-    last = b.groupBy("bucket").agg(F.max(value).alias("last")).withColumn("high", F.floor(F.col("bucket") / FINE))
-    stretches = last.groupBy("high").agg(F.max("last").alias("end"))
-    before = stretches.select("high", F.lag("end").over(Window.orderBy("high")).alias("end"))  # a row per stretch
-    near = F.lag("last").over(Window.partitionBy("high").orderBy("bucket"))
-    carried = last.withColumn("near", near).join(F.broadcast(before), "high").select("bucket", F.coalesce("near", "end").alias("carried"))
-    inside = Window.partitionBy("bucket").orderBy(value)
+def with_previous(distinct: DataFrame, value: str, cuts: Cuts | Mapping[str, Cuts], key: str | None = None) -> DataFrame:
+    """Adds ``previous``: the next smaller value (values must be distinct), of the same label with ``key``."""
+    by = [key] if key else []
+    b = with_bucket_by(distinct, key, value, cuts) if key else with_bucket(distinct, value, cuts)
+    last = b.groupBy(*by, "bucket").agg(F.max(value).alias("last")).withColumn("high", F.floor(F.col("bucket") / FINE))
+    stretches = last.groupBy(*by, "high").agg(F.max("last").alias("end"))
+    before = stretches.select(*by, "high", F.lag("end").over(Window.partitionBy(*by).orderBy("high")).alias("end"))  # a row per stretch
+    near = F.lag("last").over(Window.partitionBy(*by, "high").orderBy("bucket"))
+    carried = last.withColumn("near", near).join(F.broadcast(before), [*by, "high"]).select(*by, "bucket", F.coalesce("near", "end").alias("carried"))
+    inside = Window.partitionBy(*by, "bucket").orderBy(value)
     return (
         b.withColumn("near", F.lag(value).over(inside))
-        .join(carried, "bucket")
+        .join(carried, [*by, "bucket"])
         .withColumn("previous", F.coalesce("near", "carried"))
         .drop("bucket", "near", "carried")
     )

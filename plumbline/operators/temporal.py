@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import integer_prefix, iso_text
-from plumbline.operators.columns import Cell, cells, local_table, row_hash, wide
+from plumbline.operators.columns import Cell, cells, local_table, long, row_hash, wide
 from plumbline.operators.ordering import (
     Target,
     bucket_edges,
     floor_index,
+    grouped_order_statistics,
     order_statistics,
     partner_index,
     with_position,
     with_previous,
 )
+from plumbline.shared import cut
 
 DAY_MS = 86_400_000.0
 
@@ -119,29 +120,41 @@ def time_gaps(df: DataFrame, column: str) -> DataFrame:
 
 
 def date_pattern(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """``(column, frequency, median_days)``: the spacing named after the median gap between rows."""
-    rows = [_pattern(df, c.name) for c in time_cells(df, columns)]
-    return local_table(df.sparkSession, rows, "column string, frequency string, median_days double")
-
-
-def _pattern(df: DataFrame, column: str) -> tuple[str, str, float | None]:
-    gaps = time_gaps(df, column).persist(StorageLevel.DISK_ONLY)
-    try:
-        size = gaps.agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("moments")).first()
-        if (size["rows"] or 0) < 2:
-            return column, "unknown", None
-        n, zeros = size["rows"] - 1, size["rows"] - size["moments"]
-        asked = {floor_index(0.5)(n), partner_index(0.5)(n)}
-        later = [k - zeros for k in asked if k >= zeros]
-        rest = size["moments"] - 1
-        targets = [Target(str(i), k / rest, lambda _n, k=k: k) for i, k in enumerate(later)]
-        found = order_statistics(gaps, {"gap": F.col("gap_ms")}, targets)["gap"] if targets else {}
-        values = [found[t.name] for t in targets] + [0.0] * (len(asked) - len(later))
-    finally:
-        gaps.unpersist()
-    days = sum(values) / len(values) / DAY_MS
-    name = next((label for limit, label in SPACINGS if days < limit), "irregular")
-    return column, name, days
+    """``(column, frequency, median_days)``: the spacing named after the median gap between rows.
+
+    The gaps of all columns come out of one pass, whose result is written once; the medians
+    are order statistics of the gaps by column.  The driver holds a few numbers per column.
+    """
+    picked = time_cells(df, columns)
+    schema = "column string, frequency string, median_days double"
+    if not picked:
+        return local_table(df.sparkSession, [], schema)
+    moments = {c.name: c.millis().cast("double") for c in picked}
+    rows = long(df, picked, lambda c: moments[c.name]).where(F.col("value").isNotNull())
+    distinct = rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    spaced = with_previous(distinct, "value", bucket_edges(df, moments), "column")
+    gaps = cut(spaced.select("column", (F.col("value") - F.col("previous")).alias("gap_ms"), "count"))
+    sizes = {r["column"]: r for r in gaps.groupBy("column").agg(F.sum("count").alias("rows"), F.count(F.lit(1)).alias("moments")).collect()}
+    targets, asked = {}, {}
+    for name, size in sizes.items():
+        if size["rows"] < 2:
+            continue
+        # rows that share a moment have gaps of 0, which come first
+        n, zeros, rest = size["rows"] - 1, size["rows"] - size["moments"], size["moments"] - 1
+        asked[name] = {floor_index(0.5)(n), partner_index(0.5)(n)}
+        later = [k - zeros for k in asked[name] if k >= zeros]
+        targets[name] = [Target(str(i), k / rest, lambda _n, k=k: k) for i, k in enumerate(later)]
+    open_ = [n for n, t in targets.items() if t]
+    found = grouped_order_statistics(gaps, F.col("column"), F.col("gap_ms"), open_, targets) if open_ else {}
+    out = []
+    for c in picked:
+        if c.name not in asked:
+            out.append((c.name, "unknown", None))
+            continue
+        values = [found[c.name][t.name] for t in targets[c.name]]
+        days = sum(values) / len(asked[c.name]) / DAY_MS
+        out.append((c.name, next((label for limit, label in SPACINGS if days < limit), "irregular"), days))
+    return local_table(df.sparkSession, out, schema)
 
 
 def weekday_share(df: DataFrame, column: str) -> DataFrame:

@@ -221,6 +221,28 @@ def test_ranks_of_no_rows_and_no_pairs(spark):
     assert ops.spearman_pairs(df.select("a")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [12, 3])
+def test_date_patterns_of_many_columns(spark, monkeypatch, bits):
+    monkeypatch.setattr(ordering, "BUCKET_BITS", bits)
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 7)
+    rnd = random.Random(2)
+    day = 86_400_000
+    lists = {
+        "daily": [i * day for i in range(200)], "ties": [(i // 9) * 7 * day for i in range(200)], "mixed": [rnd.randrange(10**12) if i % 3 else None for i in range(200)],
+        "one": [5] + [None] * 199, "none": [None] * 200, "same": [day] * 200, "two": [0, 31 * day] + [None] * 198,
+    }
+    df = spark.createDataFrame(list(zip(*lists.values())), ", ".join(f"{n} long" for n in lists)).repartition(6)
+    df = df.select(*[F.timestamp_millis(n).alias(n) for n in lists])
+    got = {r["column"]: (r["frequency"], r["median_days"]) for r in ops.date_pattern(df).collect()}
+    for name, values in lists.items():
+        kept = sorted(v for v in values if v is not None)
+        gaps = sorted(b - a for a, b in zip(kept, kept[1:]))
+        n = len(gaps)
+        want = None if not gaps else (gaps[n // 2] + gaps[n // 2 - (1 if n % 2 == 0 and n else 0)]) / 2 / day if n % 2 == 0 else gaps[n // 2] / day
+        assert got[name][1] == (None if want is None else pytest.approx(want)), name
+    assert [got[n][0] for n in ("daily", "ties", "one", "none", "two")] == ["daily", "sub-hourly", "unknown", "unknown", "monthly"]
+
+
 def test_histogram_counts_everything(spark):
     values = [math.sin(i) * 10 for i in range(1000)]
     h = ops.histogram(numbers(spark, values), ["x"], 20)
