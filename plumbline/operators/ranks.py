@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import SKETCH_K, sketched_quantiles
-from plumbline.shared import spread
+from plumbline.shared import cut, spread
 
 # Cut points per column, fewer where columns and missing columns are many: their counts pass through the driver.
 MOST_EDGES = 4095
@@ -42,7 +42,8 @@ def rank_sums(df: DataFrame, values: Mapping[str, Column], pairs: Sequence[tuple
     ``pair`` is the number of the pair in ``pairs``; a pair without complete rows has none.
     """
     names = list(values)
-    source = spread(df.select(*[values[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)]))
+    # written once: three passes read it, and row numbers must not change when a task is run again
+    source = cut(spread(df.select(*[values[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])))
     edges, gappy, slots = _cut_points(source, len(names))
     counts = _slot_counts(source, edges, gappy, slots)
     at = {n: i for i, n in enumerate(names)}
