@@ -206,6 +206,49 @@ def test_ranks_of_gappy_hot_and_tied_columns(spark, monkeypatch, edges):
             assert pairs == n and (r == pytest.approx(want) if want is not None else r is None), (a, names[j])
 
 
+def test_ranks_from_many_small_blocks_and_buckets(spark, monkeypatch):
+    from plumbline.operators import ranks
+
+    for name, value in {"MOST_EDGES": 9, "FEWEST_EDGES": 9, "BLOCK": 300, "PACKED": 50, "BUCKET_CELLS": 20, "SENT": 40}.items():
+        monkeypatch.setattr(ranks, name, value)
+    rnd = random.Random(8)
+    rows = []
+    for i in range(500):
+        u = rnd.gauss(0, 1)
+        row = [u, round(u, 1) + 0.0, -u + rnd.random(), float(i // 3), rnd.random()]
+        rows.append(tuple(None if i % (c + 4) == 0 or (c == 2 and u > 1) else v for c, v in enumerate(row)))
+    names = list("abcde")
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    for r in ops.spearman_pairs(df).collect():
+        n, want = slow_spearman(rows, names.index(r["column_x"]), names.index(r["column_y"]))
+        assert (r["pairs"], r["correlation"]) == (n, pytest.approx(want)), r
+
+
+def shuffled_records(df):
+    """Rows that the shuffles of a query wrote."""
+    df.collect()
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        if kind == "ShuffleExchangeExec":
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("gaps", [True])
+def test_ranks_shuffle_blocks_not_cells(spark, gaps):
+    n = 30000
+    cells = [F.rand(i) if not gaps else F.when(F.rand(i + 9) < 0.8, F.rand(i)) for i in range(4)]
+    df = spark.range(0, n, 1, 4).select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    assert 0 < shuffled_records(ops.spearman_pairs(df)) < n / 50
+
+
 def test_ranks_need_as_many_shuffles_for_many_columns(spark):
     def exchanges(k):
         df = spark.range(5000).select(*[(F.rand(i) if i % 2 else F.when(F.rand(i) < 0.9, F.rand(i))).alias(f"c{i}") for i in range(k)])
