@@ -17,7 +17,7 @@ misses.  It is the rank among all cells of its column, less the rank among those
 so every count is kept once for all rows and once for each column with missing cells.
 
 Memory: a task holds a block (``BLOCK`` ranks) or a bucket: ``BUCKET_CELLS`` cells and one
-slot, some 60 bytes a cell.  A slot holds the column's rows over its number of cut points, or
+slot, some 80 bytes a cell.  A slot holds the column's rows over its number of cut points, or
 a few times that where the sketch errs.
 """
 

@@ -241,7 +241,7 @@ def shuffled_records(df):
     return found
 
 
-@pytest.mark.parametrize("gaps", [True])
+@pytest.mark.parametrize("gaps", [True, False])
 def test_ranks_shuffle_blocks_not_cells(spark, gaps):
     n = 30000
     cells = [F.rand(i) if not gaps else F.when(F.rand(i + 9) < 0.8, F.rand(i)) for i in range(4)]
